@@ -28,15 +28,15 @@ def children(doc: Column, parent: Column | None = None, sep: str = "_", lower: b
     Text and order come from a string map; a variant map is read for the types alone, since
     a variant sorts its keys.
     """
-    types = F.from_json(doc, "map<string,variant>")
+    texts = F.map_entries(F.from_json(doc, "map<string,string>"))
+    kinds = F.map_entries(F.from_json(doc, "map<string,variant>"))
 
-    def entry(e):
+    def entry(e, v):
         key = F.lower(e.key) if lower else e.key
         name = key if parent is None else F.concat(parent, F.lit(sep), key)
-        return F.struct(name.alias("key"), e.value.alias("value"), _kind(types[e.key]).alias("type"))
+        return F.struct(name.alias("key"), e.value.alias("value"), _kind(v.value).alias("type"))
 
-    found = F.transform(F.map_entries(F.from_json(doc, "map<string,string>")), entry)
-    return F.coalesce(found, F.array().cast(ENTRY))
+    return F.coalesce(F.zip_with(texts, kinds, entry), F.array().cast(ENTRY))
 
 
 def _first_is_object(value: Column) -> Column:
@@ -45,12 +45,10 @@ def _first_is_object(value: Column) -> Column:
 
 def _list_members(e: Column, sep: str) -> Column:
     """Object members of a list, keyed by position; other members are dropped."""
-    kinds = F.from_json(e.value, "array<variant>")
-    numbered = F.transform(
-        F.from_json(e.value, "array<string>"),
-        lambda v, i: F.struct(F.concat(e.key, F.lit(sep), i.cast("string")).alias("key"), v.alias("value"),
-                              _kind(kinds[i]).alias("type")),
-    )
+    both = F.zip_with(F.from_json(e.value, "array<string>"), F.from_json(e.value, "array<variant>"),
+                      lambda v, k: F.struct(v.alias("v"), _kind(k).alias("k")))
+    numbered = F.transform(both, lambda m, i: F.struct(
+        F.concat(e.key, F.lit(sep), i.cast("string")).alias("key"), m.v.alias("value"), m.k.alias("type")))
     return F.filter(numbered, lambda m: m.type == "OBJECT")
 
 

@@ -1,0 +1,10 @@
+"""Registered queries, one module per area."""
+
+from importlib import import_module
+
+AREAS = ["text_queries", "table_queries"]
+
+
+def all_queries() -> None:
+    for area in AREAS:
+        import_module(f"{__name__}.{area}")
