@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, not once per element of an inner lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def zeros(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), dim)
 
 
 def fit_dim(vec: Column, dim: int) -> Column:
     """Pad with zeros or cut to dim; null becomes the zero vector."""
-    return F.when(F.size(vec) == dim, vec).otherwise(
-        F.slice(F.concat(F.coalesce(vec, F.array().cast("array<float>")), zeros(dim)), 1, dim))
+    return let(vec.cast("array<float>"), lambda v: F.when(F.size(v) == dim, v).otherwise(
+        F.slice(F.concat(F.coalesce(v, F.array().cast("array<float>")), zeros(dim)), 1, dim)))
 
 
 def concat_sections(vecs: Sequence[Column], dim: int) -> Column:
@@ -62,19 +67,19 @@ def subtract(a: Column, b: Column) -> Column:
 
 def unit(vec: Column, eps: float = 1e-12) -> Column:
     """Length one, with eps in the denominator."""
-    length = norm2(vec) + eps
-    return F.transform(as_double(vec), lambda x: x / length)
+    return let(norm2(vec) + eps, lambda length: F.transform(as_double(vec), lambda x: x / length))
 
 
 def normalize(vec: Column, norm: str = "l2") -> Column:
     """Row normalisation by l1, l2 or max; NaN counts as 0 and zero rows stay zero."""
-    clean = nan_to_zero(vec)
-    size = {
-        "l1": total(F.transform(clean, F.abs)),
-        "l2": norm2(clean),
-        "max": F.array_max(F.transform(clean, F.abs)),
-    }[norm]
-    return F.transform(clean, lambda x: F.when(size > 0, x / size).otherwise(x))
+    sizes = {
+        "l1": lambda v: total(F.transform(v, F.abs)),
+        "l2": norm2,
+        "max": lambda v: F.array_max(F.transform(v, F.abs)),
+    }
+    divided = lambda v: let(sizes[norm](v), lambda size: F.when(
+        size > 0, F.transform(v, lambda x: x / size)).otherwise(v))
+    return let(nan_to_zero(vec), divided)
 
 
 def token_codes(text: Column, dim: int) -> Column:
@@ -82,17 +87,15 @@ def token_codes(text: Column, dim: int) -> Column:
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
     def code(word):
-        digest = F.md5(word)
-        bucket = F.pmod(F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint"), F.lit(dim)) + 1
-        return F.when(F.substr(digest, F.lit(9), F.lit(1)) < "8", bucket).otherwise(-bucket)
+        bucket = F.pmod(F.conv(F.left(word, F.lit(8)), 16, 10).cast("bigint"), F.lit(dim)) + 1
+        return F.when(F.substr(word, F.lit(9), F.lit(1)) < "8", bucket).otherwise(-bucket)
 
-    return F.transform(words, code)
+    return F.transform(F.transform(words, F.md5), code)
 
 
 def hashing_vector(text: Column, dim: int) -> Column:
     """Deterministic stand-in for a language model: signed word counts in hashed buckets."""
-    codes = token_codes(F.coalesce(text, F.lit("")), dim)
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(dim)),
-        lambda b: (F.size(F.filter(codes, lambda c: c == b)) - F.size(F.filter(codes, lambda c: c == -b))).cast("float"),
-    )
+    count = lambda codes, b: F.aggregate(codes, F.lit(0), lambda n, c: F.when(
+        c == b, n + 1).when(c == -b, n - 1).otherwise(n))
+    return let(token_codes(F.coalesce(text, F.lit("")), dim), lambda codes: F.transform(
+        F.sequence(F.lit(1), F.lit(dim)), lambda b: count(codes, b).cast("float")))

@@ -216,7 +216,7 @@ def inertia_table(df: DataFrame, id_col: str, vec: str, ks: Sequence[int], n_ini
     out = []
     for k in ks:
         run = kmeans(df, id_col, vec, k, n_init, seed=seed)
-        joined = df.join(run.labels.withColumnRenamed("id", id_col), id_col)
+        joined = df.select(id_col, vec).join(run.labels.withColumnRenamed("id", id_col), id_col)
         out.append((k, float(run.figures["inertia"]), metrics.cosine_silhouette(joined, vec)))
     return df.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
 
@@ -257,7 +257,7 @@ def cluster(df: DataFrame, id_col: str, vec: str, method: str, k: int = 2, **par
 
 def evaluate(df: DataFrame, id_col: str, vec: str, found: Found) -> dict | None:
     """Scores of one run, None below 2 clusters or 4 valid rows."""
-    rows = df.join(found.labels.withColumnRenamed("id", id_col), id_col)
+    rows = df.select(id_col, vec).join(found.labels.withColumnRenamed("id", id_col), id_col)
     counts = metrics.run_counts(rows).first()
     if counts.n_clusters < 2 or counts.valid_points < 4:
         return None
@@ -304,7 +304,7 @@ def compare_methods(df: DataFrame, id_col: str, vec: str, methods: Sequence[str]
     for m in methods:
         try:
             found = cluster(df, id_col, vec, m, k)
-            rows = cut_lineage(df.join(found.labels.withColumnRenamed("id", id_col), id_col))
+            rows = cut_lineage(df.select(id_col, vec).join(found.labels.withColumnRenamed("id", id_col), id_col))
             out.append((m, metrics.euclidean_silhouette(rows, id_col, vec).first().silhouette,
                         metrics.run_counts(rows).first().n_clusters))
         except Exception:  # noqa: BLE001

@@ -50,11 +50,11 @@ def prototypes(df: DataFrame, label: str, order: str, features: str = "features"
 
 def position_parts(df: DataFrame, vecs: str, axis: DataFrame, sections: Sequence[str], dim: int) -> DataFrame:
     """Adds the axis product and squared length of every section vector."""
-    a = axis.scalar()
-    return df.withColumns({
-        "dots": F.array(*[V.dot(F.col(vecs)[i], V.section_slice(a, i, dim)) for i in range(len(sections))]),
+    rows = df.withColumn("_axis", axis.scalar())
+    return rows.withColumns({
+        "dots": F.array(*[V.dot(F.col(vecs)[i], V.section_slice(F.col("_axis"), i, dim)) for i in range(len(sections))]),
         "squares": F.array(*[V.dot(F.col(vecs)[i], F.col(vecs)[i]) for i in range(len(sections))]),
-    })
+    }).drop("_axis")
 
 
 def _position(dots: Column, squares: Column, eps: float = 1e-12) -> Column:
@@ -63,15 +63,14 @@ def _position(dots: Column, squares: Column, eps: float = 1e-12) -> Column:
 
 def _shift(edits: DataFrame, embed: Embed, axis: DataFrame, sections: Sequence[str], dim: int) -> DataFrame:
     """delta_proj of an edit: one section vector is replaced, the others stay."""
-    a = axis.scalar()
-    slices = F.array(*[V.section_slice(a, i, dim) for i in range(len(sections))])
-    rows = edits.withColumn("_new", embed(F.col("new_text"))).withColumn("_i", F.array_position(
-        F.array(*map(F.lit, sections)), F.col("section")).cast("int"))
+    rows = edits.withColumn("_axis", axis.scalar()).withColumn("_new", embed(F.col("new_text"))) \
+        .withColumn("_i", F.array_position(F.array(*map(F.lit, sections)), F.col("section")).cast("int"))
+    part = F.slice("_axis", (F.col("_i") - 1) * dim + 1, dim)
     dot, sq = V.total(F.col("dots")), V.total(F.col("squares"))
-    new_dot = dot - F.element_at("dots", F.col("_i")) + V.dot(F.col("_new"), F.element_at(slices, F.col("_i")))
+    new_dot = dot - F.element_at("dots", F.col("_i")) + V.dot(F.col("_new"), part)
     new_sq = sq - F.element_at("squares", F.col("_i")) + V.dot(F.col("_new"), F.col("_new"))
     delta = _position(new_dot, new_sq) - _position(dot, sq)
-    return rows.withColumn("delta_proj", delta).drop("_new", "_i", "dots", "squares", "new_text")
+    return rows.withColumn("delta_proj", delta).drop("_axis", "_new", "_i", "dots", "squares", "new_text")
 
 
 def support(label: Column, delta: Column, class_a: int = 0) -> Column:
@@ -187,9 +186,9 @@ def prototype_trajectory(protos: DataFrame, axis: DataFrame, embed: Embed, secti
     wide = texts.groupBy("start", "at").agg(*[
         F.max(F.when(F.col("section") == s, F.col("t"))).alias(f"t{i}") for i, s in enumerate(sections)])
     vec = V.concat_sections([embed(F.coalesce(f"t{i}", F.lit(""))) for i in range(len(sections))], dim)
-    a = axis.scalar()
+    wide = wide.withColumn("_vec", vec).withColumn("_axis", axis.scalar())
     named = steps.select("start", F.col("step").alias("at"), F.concat("section", F.lit(":"), "block").alias("d"))
-    return wide.withColumn("position", V.dot(V.unit(vec), a)).join(named, ["start", "at"], "left").select(
+    return wide.withColumn("position", V.dot(V.unit(F.col("_vec")), F.col("_axis"))).join(named, ["start", "at"], "left").select(
         "start", F.col("at").alias("step"), F.coalesce("d", F.lit("baseline")).alias("description"), "position")
 
 

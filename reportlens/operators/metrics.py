@@ -100,7 +100,8 @@ def calinski_harabasz(df: DataFrame, vec: str, label: str = "label") -> DataFram
     """One row: between over within sum of squares, each by its degrees of freedom."""
     rows = valid(df, label)
     mu = centroids(rows, vec).select("mean").scalar()
-    shifted = rows.select(F.col(label).alias("label"), V.subtract(F.col(vec), mu).alias("x"))
+    shifted = rows.withColumn("_mu", mu).select(
+        F.col(label).alias("label"), V.subtract(F.col(vec), F.col("_mu")).alias("x"))
     v = array_to_vector("x")
     by = shifted.groupBy("label").agg(
         vector_to_array(Summarizer.sum(v)).alias("s"), F.count(F.lit(1)).alias("n"),

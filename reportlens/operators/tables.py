@@ -61,9 +61,9 @@ def fill_vector_gaps(df: DataFrame, vec: str) -> DataFrame:
     means = df.select(F.posexplode(F.col(vec).cast("array<double>")).alias("i", "x")) \
         .groupBy("i").agg(F.avg(cell).alias("m"))
     packed = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e.m).alias("m")).scalar()
-    filled = F.zip_with(F.col(vec).cast("array<double>"), packed,
+    filled = F.zip_with(F.col(vec).cast("array<double>"), F.col("_m"),
                         lambda x, m: F.when(x.isNull() | F.isnan(x), m).otherwise(x))
-    return df.withColumn(vec, filled)
+    return df.withColumn("_m", packed).withColumn(vec, filled).drop("_m")
 
 
 def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
