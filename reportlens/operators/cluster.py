@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce as fold
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
@@ -35,6 +36,12 @@ def _ml(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), array_to_vector(V.as_double(F.col(vec))).alias("features"))
 
 
+def _fits(fit: Callable[[int], object], n: int, at_once: int = 4) -> list:
+    """fit(0) .. fit(n - 1), a few at a time: their jobs share the cluster."""
+    with ThreadPool(min(n, at_once)) as pool:
+        return pool.map(fit, range(n))
+
+
 def _labels(predicted: DataFrame) -> DataFrame:
     return predicted.select("id", F.col("prediction").cast("int").alias("label"))
 
@@ -43,7 +50,7 @@ def kmeans(df: DataFrame, id_col: str, vec: str, k: int, n_init: int = 10, max_i
     """Best of several seeds by training cost (k-means||)."""
     rows = _ml(df, id_col, vec).persist()
     try:
-        fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-6).fit(rows) for i in range(n_init)]
+        fits = _fits(lambda i: KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-6).fit(rows), n_init)
         best = min(fits, key=lambda m: m.summary.trainingCost)
         return Found(_labels(best.transform(_ml(df, id_col, vec))), "KMeans", {"n_clusters": str(k)},
                      {"inertia": best.summary.trainingCost}, best)
@@ -54,7 +61,7 @@ def kmeans(df: DataFrame, id_col: str, vec: str, k: int, n_init: int = 10, max_i
 def gaussian_mixture(df: DataFrame, id_col: str, vec: str, k: int, n_init: int = 1, seed: int = 42) -> Found:
     rows = _ml(df, id_col, vec).persist()
     try:
-        fits = [GaussianMixture(k=k, seed=seed + i).fit(rows) for i in range(n_init)]
+        fits = _fits(lambda i: GaussianMixture(k=k, seed=seed + i).fit(rows), n_init)
         best = max(fits, key=lambda m: m.summary.logLikelihood)
         return Found(_labels(best.transform(_ml(df, id_col, vec))), "GMM", {"n_clusters": str(k)},
                      {"log_likelihood": best.summary.logLikelihood}, best)

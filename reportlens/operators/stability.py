@@ -134,6 +134,7 @@ def consensus_to_labels(arrays: DataFrame, block_rows: int | None = None) -> Dat
     The row-by-label form of the ordered consensus matrix.
     """
     def sums(rows, cols, both, together, drop):
+        both, together = both.astype(np.float64), together.astype(np.float64)
         value = np.divide(together, both, out=np.zeros(both.shape), where=both > 0)
         seen = both > 0
         if drop:

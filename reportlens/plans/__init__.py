@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["text_queries", "table_queries", "vector_queries"]
+AREAS = ["text_queries", "table_queries", "vector_queries", "explain_queries", "outcome_queries"]
 
 
 def all_queries() -> None:
