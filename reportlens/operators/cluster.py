@@ -10,13 +10,14 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import cut_lineage
 from . import metrics, pairs, reduce, tables
 from .components import components
+from .ranking import global_rank
 
 MICRO_CLUSTERS = 512      # centroids a linkage works on, whatever the number of rows
 
@@ -168,8 +169,8 @@ def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int =
     edge = links.where("border").select(F.col("a").alias("id"), F.col("b").alias("via")) \
         .join(inner.select(F.col("id").alias("via"), "root"), "via").groupBy("id").agg(F.min("root").alias("root"))
     both = cut_lineage(inner.unionByName(edge))
-    order = both.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)
-    labelled = both.join(order, "root").select("id", "label")
+    order = global_rank(both.select("root").distinct(), ["root"], "label")
+    labelled = both.join(order, "root").select("id", (F.col("label") - 1).cast("int").alias("label"))
     out = ids.select("id").join(labelled, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
     return Found(out, "DBSCAN", {"eps": repr(eps), "min_samples": str(min_samples)})
 
@@ -200,9 +201,9 @@ def density_levels(df: DataFrame, id_col: str, vec: str, min_cluster_size: int =
     picked = groups.join(score.select("root", "level", "score"), ["root", "level"]) \
         .groupBy("id").agg(F.max(F.struct("score", F.col("level"), F.col("root"))).alias("m"))
     named = cut_lineage(picked.select("id", "m.level", "m.root"))
-    order = named.groupBy("level", "root").agg(F.min("id").alias("first")) \
-        .withColumn("label", F.row_number().over(Window.orderBy("first")) - 1)
-    labelled = named.join(order, ["level", "root"]).select("id", "label")
+    order = named.groupBy("level", "root").agg(F.min("id").alias("first"))
+    order = global_rank(order, ["first"], "label")
+    labelled = named.join(order, ["level", "root"]).select("id", (F.col("label") - 1).cast("int").alias("label"))
     out = marked.select(F.col(id_col).alias("id")).join(labelled, "id", "left") \
         .select("id", F.coalesce("label", F.lit(-1)).alias("label"))
     return Found(out, "HDBSCAN", {"min_cluster_size": str(min_cluster_size), "min_samples": str(min_samples)})

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce as fold
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -194,21 +196,12 @@ def prototype_trajectory(protos: DataFrame, axis: DataFrame, embed: Embed, secti
 
 # --- attribution of sections and features -----------------------------------------
 
-def _cv_auc(rows: DataFrame, vec: Column, folds: int) -> float:
-    """Mean AUC of a balanced logistic regression over the folds."""
-    ready = rows.select("label", "fold", "weight", array_to_vector(V.as_double(vec)).alias("features")).persist()
-    try:
-        out = []
-        for f in range(folds):
-            train = ready.where(F.col("fold") != f)
-            n = train.count()
-            model = LogisticRegression(maxIter=100, regParam=1 / n, standardization=False, weightCol="weight").fit(train)
-            held = model.transform(ready.where(F.col("fold") == f))
-            score = held.withColumn("s", F.element_at(vector_to_array("probability"), 2))
-            out.append(metrics.roc_auc(score, "label", "s").first().auc)
-        return float(sum(out) / len(out))
-    finally:
-        ready.unpersist()
+def _fold_scores(ready: DataFrame, fold: int, name: str) -> DataFrame:
+    """(name, fold, label, s): held-out scores of a balanced logistic regression."""
+    train = ready.where(F.col("fold") != fold)
+    model = LogisticRegression(maxIter=100, regParam=1 / train.count(), standardization=False, weightCol="weight").fit(train)
+    held = model.transform(ready.where(F.col("fold") == fold))
+    return held.select(F.lit(name).alias("name"), "fold", "label", F.element_at(vector_to_array("probability"), 2).alias("s"))
 
 
 def section_attribution(df: DataFrame, id_col: str, vec: str, label: str, sections: Sequence[str], dim: int,
@@ -218,17 +211,22 @@ def section_attribution(df: DataFrame, id_col: str, vec: str, label: str, sectio
         F.col(id_col).alias("id"), F.col(vec).alias("vec"), (F.col(label) == class_b).cast("int").alias("label"))
     marked = models.class_weights(stratified_folds(two, "label", ["id"], folds, seed), "label").persist()
     n, v = len(sections), F.col("vec")
-    full = _cv_auc(marked, v, folds)
-    gap = section_distance(two, "vec", "label", sections, dim)
-    rows = []
+    parts = {"full": v}
     for i, s in enumerate(sections):
-        alone = _cv_auc(marked, V.section_slice(v, i, dim), folds)
-        rest = _cv_auc(marked, V.without_section(v, i, dim, n), folds)
-        rows.append((s, alone, rest, full - rest))
-    marked.unpersist()
+        parts[f"only {s}"] = V.section_slice(v, i, dim)
+        parts[f"without {s}"] = V.without_section(v, i, dim, n)
+    ready = {k: marked.select("label", "fold", "weight", array_to_vector(V.as_double(c)).alias("features")).persist()
+             for k, c in parts.items()}
+    with ThreadPool(4) as pool:
+        scored = pool.starmap(lambda k, f: _fold_scores(ready[k], f, k), [(k, f) for k in parts for f in range(folds)])
+    per_fold = metrics.roc_auc(fold(DataFrame.unionByName, scored), "label", "s", "name", "fold")
+    auc = {r.name: r.auc for r in per_fold.groupBy("name").agg(F.avg("auc").alias("auc")).collect()}
+    for rows in [*ready.values(), marked]:
+        rows.unpersist()
     table = df.sparkSession.createDataFrame(
-        rows, "section string, auc_section_only double, auc_leave_out double, auc_drop double")
-    return table.join(gap, "section").orderBy(F.desc("auc_drop"))
+        [(s, auc[f"only {s}"], auc[f"without {s}"], auc["full"] - auc[f"without {s}"]) for s in sections],
+        "section string, auc_section_only double, auc_leave_out double, auc_drop double")
+    return table.join(section_distance(two, "vec", "label", sections, dim), "section").orderBy(F.desc("auc_drop"))
 
 
 def section_distance(df: DataFrame, vec: str, label: str, sections: Sequence[str], dim: int,

@@ -96,7 +96,7 @@ def bernoulli_bayes() -> Spec:
         NaiveBayes(modelType="bernoulli", featuresCol="_bits", smoothing=1.0)]))
 
 
-def kernel_svm(width: int = 256, gamma: float | None = None, c: float = 1.0, seed: int = 42) -> Spec:
+def kernel_svm(width: int = 256, gamma: float | None = None, c: float = 1.0, max_iter: int = 100, seed: int = 42) -> Spec:
     """RBF kernel by random Fourier features (Rahimi and Recht 2007), a linear SVM per class, Platt scaling."""
     def spec(train, classes):
         d = len(train.first().vec)
@@ -122,11 +122,11 @@ def kernel_svm(width: int = 256, gamma: float | None = None, c: float = 1.0, see
             target = F.col("label") if classes == 2 else (F.col("label") == cls).cast("double")
             two = rows.withColumn("_y", target)
             svm = LinearSVC(featuresCol="_rff", labelCol="_y", rawPredictionCol="_raw", predictionCol="_hit",
-                            regParam=1 / (c * n), maxIter=100).fit(two)
+                            regParam=1 / (c * n), maxIter=max_iter).fit(two)
             margin = lambda df, m=svm: m.transform(df).withColumn(
                 "_m", F.slice(vector_to_array("_raw"), 2, 1)).withColumn("_mv", array_to_vector("_m"))
             platt = LogisticRegression(featuresCol="_mv", labelCol="_y", probabilityCol="_pr", rawPredictionCol="_r2",
-                                       predictionCol="_h2").fit(margin(two))
+                                       predictionCol="_h2", maxIter=max_iter).fit(margin(two))
             fits.append((margin, platt))
         rows.unpersist()
 

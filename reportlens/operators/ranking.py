@@ -14,8 +14,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 HASH_BITS = 60
-BUCKET_BITS = 10
+BUCKET_BITS = 14
+CUTS = 1024
 
 
 def hash_key(seed: int | Column, *keys: Column | str) -> Column:
@@ -32,7 +35,7 @@ def hash_unit(seed: int | Column, *keys: Column | str) -> Column:
 
 
 def _offsets(counts: DataFrame, group: Sequence[str], bucket: str, cols: Sequence[str]) -> DataFrame:
-    """Totals of the buckets before each one; at most 2^BUCKET_BITS rows per group."""
+    """Totals of the buckets before each one; the buckets of a group are few, whatever its size."""
     w = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(*group, bucket, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_before_{c}") for c in cols])
 
@@ -85,7 +88,7 @@ def bootstrap(df: DataFrame, n_draws: int, keys: Sequence[str], seed: int = 42)
     return draws.join(ranked, "_rank").drop("_rank")
 
 
-def cut_points(df: DataFrame, col: str, n_buckets: int = 1 << BUCKET_BITS) -> list[float]:
+def cut_points(df: DataFrame, col: str, n_buckets: int = CUTS) -> list[float]:
     """Values that split distinct values into buckets of like size; at most n_buckets reach the driver."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     return sorted(set(df.withColumn("_v", F.col(col).cast("double")).approxQuantile("_v", probs, 0.5 / n_buckets)))
@@ -113,6 +116,19 @@ def value_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFra
     return ranked.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / 2).drop("before_n")
 
 
+def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank") -> DataFrame:
+    """Row number over a whole table: a distributed sort, then an offset per sorted part.
+
+    The sorted rows are written before they are counted, so both passes see the same parts.
+    """
+    rows = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = _offsets(counts, (), "_part", ["n"])
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(before, "_part").withColumn(out, F.col("_before_n") + inside).drop("_at", "_part", "_before_n")
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int = 1,
                   out: str = "rank") -> DataFrame:
     """First k rows per group; Spark keeps k rows per group and task before the shuffle."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, text
-from .ranking import running_totals, sum_columns, top_per_group
+from .ranking import global_rank, running_totals, sum_columns, top_per_group
 
 # --- choosing rows and columns ----------------------------------------------
 
@@ -331,8 +331,8 @@ def best_runs(runs: DataFrame, k: int, metric: str = "silhouette", min_clusters:
 
 
 def ranked_runs(runs: DataFrame, metric: str = "silhouette") -> DataFrame:
-    """The leaderboard: run tables hold one row per configuration, so one sort is enough."""
-    return runs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(metric), "ordinal")))
+    """The leaderboard with its ranks."""
+    return global_rank(runs, [F.desc(metric), "ordinal"])
 
 
 def top_per_algorithm(runs: DataFrame, k: int = 3) -> DataFrame:
@@ -384,7 +384,8 @@ def id_columns(df: DataFrame, named: Sequence[str] | None = None) -> list[str]:
 
 def label_columns(runs: DataFrame, k: int = 5) -> DataFrame:
     """Top runs with the column name of each: algorithm, rank, silhouette and k."""
-    best = ranked_runs(runs).where(F.col("rank") <= k)
+    top = runs.orderBy(F.desc("silhouette"), "ordinal").limit(k)
+    best = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("silhouette"), "ordinal")))
     name = F.format_string("cluster_%s_rank%d_sil%.4f_k%d", "algorithm", "rank", "silhouette", "n_clusters")
     return best.withColumn("column_name", name)
 

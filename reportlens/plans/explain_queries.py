@@ -13,7 +13,8 @@ from .vector_queries import euclid
 SQL_BASE = f"WITH {I.SQL_DOCS}, {I.SQL_TOP}, {I.SQL_AXIS}, base AS (SELECT *, section || '_' || key AS feature FROM feat WHERE label < 2)"
 SQL_PROTOS = """counted AS (SELECT label, section, key, value, count(*) AS n, min((doc_id, ordinal)) AS first FROM base
   WHERE value IS NOT NULL AND value <> '' GROUP BY 1, 2, 3, 4),
-protos AS (SELECT label, section, key, value, n FROM (SELECT *, row_number() OVER (PARTITION BY label, section, key ORDER BY n DESC, first) AS r FROM counted) WHERE r = 1)"""
+protos AS (SELECT label, section, key, value, n, seen FROM (SELECT *, row_number() OVER (PARTITION BY label, section, key ORDER BY n DESC, first) AS r,
+  min(first[1] * 100 + first[2]) OVER (PARTITION BY label, section, key) AS seen FROM counted) WHERE r = 1)"""
 
 
 def sql_shift(keys: str, cols: str, source: str) -> str:
@@ -87,18 +88,19 @@ def block_experiment(t):
 
 
 @query("M11 G03", f"""{SQL_BASE}, {SQL_PROTOS},
-k AS (SELECT section, key, max(CASE label WHEN 0 THEN value END) AS a, max(CASE label WHEN 1 THEN value END) AS b FROM protos GROUP BY 1, 2),
-s AS (SELECT 0 AS start, section, key, a AS bv, b AS tv FROM k UNION ALL SELECT 1, section, key, b, a FROM k),
+k AS (SELECT section, key, max(CASE label WHEN 0 THEN value END) AS a, max(CASE label WHEN 1 THEN value END) AS b,
+  max(CASE label WHEN 0 THEN seen END) AS sa, max(CASE label WHEN 1 THEN seen END) AS sb FROM protos GROUP BY 1, 2),
+s AS (SELECT 0 AS start, section, key, a AS bv, b AS tv, sa AS so FROM k UNION ALL SELECT 1, section, key, b, a, sb FROM k),
 s2 AS (SELECT *, array_to_string(string_split(key, '_')[1:2], '_') AS block, {I.SQL_SECTION_INDEX} AS si FROM s),
 st AS (SELECT start, si, section, block, row_number() OVER (PARTITION BY start ORDER BY si, min(key)) AS step FROM s2 GROUP BY start, si, section, block),
-at AS (SELECT start, unnest(range(0, max(step) + 1)) AS at FROM st GROUP BY start),
-v AS (SELECT at.start, at.at, s2.section, key, CASE WHEN step <= at.at AND tv IS NOT NULL THEN tv ELSE bv END AS value
-  FROM s2 JOIN st USING (start, section, block) JOIN at ON at.start = s2.start),
-tt AS (SELECT start, at, section, string_agg(key || ': ' || value, '; ' ORDER BY key) AS t FROM v WHERE value IS NOT NULL GROUP BY 1, 2, 3),
-vc AS ({I.sql_cells('tt', 'start, at')}),
-pos AS (SELECT start, at, sum(x * coalesce(a, 0)) / (sqrt(sum(x * x)) + 1e-12) AS position FROM vc LEFT JOIN axis USING (section, b) GROUP BY 1, 2)
-SELECT pos.start, pos.at AS step, coalesce(st.section || ':' || st.block, 'baseline') AS description, {R('position', 'position')}
-FROM pos LEFT JOIN st ON st.start = pos.start AND st.step = pos.at""")
+walk AS (SELECT start, unnest(range(0, max(step) + 1)) AS stp FROM st GROUP BY start),
+v AS (SELECT walk.start, walk.stp, s2.section, key, CASE WHEN step <= walk.stp AND tv IS NOT NULL THEN tv ELSE bv END AS value, coalesce(so, 1e18) AS so, step
+  FROM s2 JOIN st USING (start, section, block) JOIN walk ON walk.start = s2.start),
+tt AS (SELECT start, stp, section, string_agg(key || ': ' || value, '; ' ORDER BY so, step, key) AS t FROM v WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+vc AS ({I.sql_cells('tt', 'start, stp')}),
+pos AS (SELECT start, stp, sum(x * coalesce(a, 0)) / (sqrt(sum(x * x)) + 1e-12) AS position FROM vc LEFT JOIN axis USING (section, b) GROUP BY 1, 2)
+SELECT pos.start, pos.stp AS step, coalesce(st.section || ':' || st.block, 'baseline') AS description, {R('position', 'position')}
+FROM pos LEFT JOIN st ON st.start = pos.start AND st.step = pos.stp""")
 def prototype_trajectory(t):
     cases, axis = I.report_cases(t)
     protos = explain.prototypes(cases, "label", "doc_id")
@@ -140,7 +142,7 @@ def surrogate_importance(t):
 
 @query("M15 C22 F10", f"""
 WITH {I.SQL_IMPORTANCES}, p AS (SELECT encoded_feature, raw_feature, sum(importance) AS importance FROM imp GROUP BY 1, 2)
-SELECT encoded_feature, substr(encoded_feature, 13) AS level, {R('importance', 'importance')} FROM p WHERE raw_feature = 'Brand#4'
+SELECT encoded_feature, substr(encoded_feature, 14) AS level, {R('importance', 'importance')} FROM p WHERE raw_feature = 'Brand#4'
 ORDER BY importance DESC, encoded_feature LIMIT 6""")
 def encoded_levels(t):
     imp = I.importances(t).groupBy("encoded_feature", "raw_feature").agg(F.sum("importance").alias("importance"))
@@ -166,8 +168,8 @@ def model_scores(t):
 @query("L03 L08")
 def vote_scores(t):
     train, test = split_vectors(t)
-    return models.model_table(train, test, {"SVM": models.kernel_svm(64), "Ensemble": models.soft_vote(
-        [models.logistic(), models.kernel_svm(64)])}, folds=0).drop("seconds")
+    return models.model_table(train, test, {"SVM": models.kernel_svm(64, max_iter=30), "Ensemble": models.soft_vote(
+        [models.logistic(), models.kernel_svm(64, max_iter=30)])}, folds=0).drop("seconds")
 
 
 @query("L05 J09")

@@ -12,7 +12,8 @@ from .registry import Tables
 
 SECTIONS = ["order", "customer", "lines", "shipping"]
 DIM = 16
-TOP = ["order_status", "order_priority_label", "order_note", "customer_segment", "lines_flags", "shipping_late"]
+TOP = ["order_status", "order_priority_label", "order_note", "customer_segment", "lines_flags", "shipping_late",
+       "customer_nation_home_name", "customer_nation_home_key"]
 
 
 def report_documents(t: Tables) -> DataFrame:
@@ -36,7 +37,8 @@ def report_documents(t: Tables) -> DataFrame:
             note.alias("Note")).alias("Order"),
         F.struct(
             F.col("c_mktsegment").alias("Segment"), (F.col("c_acctbal") < 0).alias("In_Debt"),
-            F.struct(F.col("n_name").alias("Name"), F.col("n_nationkey").alias("KEY")).alias("Nation")).alias("Customer"),
+            F.struct(F.struct(F.col("n_name").alias("Name"), F.col("n_nationkey").alias("KEY")).alias("Home")).alias("Nation"),
+        ).alias("Customer"),
         F.struct(
             F.struct(F.coalesce("n", F.lit(0)).alias("N"), F.coalesce("qty", F.lit(0)).alias("Qty")).alias("Totals"),
             F.coalesce("flags", F.array().cast("array<string>")).alias("Flags")).alias("Lines"),
@@ -161,8 +163,8 @@ feat AS (
   UNION ALL SELECT doc_id, label, 'order', 3, 'note', note, 'STRING' FROM docs
   UNION ALL SELECT doc_id, label, 'customer', 4, 'segment', segment, 'STRING' FROM docs
   UNION ALL SELECT doc_id, label, 'customer', 5, 'in_debt', debt, 'BOOLEAN' FROM docs
-  UNION ALL SELECT doc_id, label, 'customer', 6, 'nation_name', nname, 'STRING' FROM docs
-  UNION ALL SELECT doc_id, label, 'customer', 7, 'nation_key', nkey, 'BIGINT' FROM docs
+  UNION ALL SELECT doc_id, label, 'customer', 6, 'nation_home_name', nname, 'STRING' FROM docs
+  UNION ALL SELECT doc_id, label, 'customer', 7, 'nation_home_key', nkey, 'BIGINT' FROM docs
   UNION ALL SELECT doc_id, label, 'lines', 8, 'totals_n', n, 'BIGINT' FROM docs
   UNION ALL SELECT doc_id, label, 'lines', 9, 'totals_qty', qty, 'BIGINT' FROM docs
   UNION ALL SELECT doc_id, label, 'lines', 10, 'flags', flags, 'LIST' FROM docs

@@ -283,7 +283,7 @@ def beside(t):
 
 SQL_MAP = f"""
 WITH {I.SQL_DOCS}, u AS (SELECT DISTINCT section || '_' || key AS k FROM feat),
-raw AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN 'order_status' WHEN 1 THEN 'nation_name__RARE__' WHEN 2 THEN 'label' ELSE p_brand END AS raw_feature FROM part),
+raw AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN 'order_status' WHEN 1 THEN 'home_name__RARE__' WHEN 2 THEN 'label' ELSE p_brand END AS raw_feature FROM part),
 c AS (SELECT raw_feature, trim(regexp_replace(regexp_replace(trim(raw_feature), '(?:__RARE__|__RARE_|_RARE__|_RARE_)$', ''), '__+', '_', 'g'), '_') AS clean FROM raw),
 tries AS (SELECT raw_feature, raw_feature AS n FROM c UNION SELECT raw_feature, clean FROM c UNION SELECT raw_feature, regexp_replace(clean, '\\s+', '_', 'g') FROM c),
 hits AS (SELECT DISTINCT raw_feature, k FROM tries JOIN u ON k = n OR ends_with(k, '_' || n))
@@ -294,7 +294,7 @@ FROM c LEFT JOIN hits USING (raw_feature) GROUP BY c.raw_feature, c.clean"""
 
 def feature_map(t):
     s = F.col("p_size") % 4
-    raw = t.part.select(F.when(s == 0, "order_status").when(s == 1, "nation_name__RARE__").when(s == 2, "label")
+    raw = t.part.select(F.when(s == 0, "order_status").when(s == 1, "home_name__RARE__").when(s == 2, "label")
                         .otherwise(F.col("p_brand")).alias("raw_feature"))
     universe = documents.feature_universe(I.section_documents(t)).select(F.concat_ws("_", "section", "key").alias("json_key"))
     return tables.map_features(raw, universe)
@@ -551,7 +551,8 @@ SELECT 'm' || r.a AS row, {', '.join(R(f"max(CASE WHEN c.a = {j} THEN CASE WHEN
 FROM v r CROSS JOIN v c GROUP BY r.a""")
 def symmetric_matrix(t):
     x = t.embeddings.groupBy((F.col("label") % 3).alias("a")).agg(F.avg(F.element_at("embedding", 1)).alias("x"))
-    p = x.alias("p").join(x.alias("q"), F.col("p.a") < F.col("q.a")).select(
+    three = x.agg(F.array_sort(F.collect_list(F.struct("a", "x"))).alias("g")).select("g", F.posexplode("g").alias("i", "p"))
+    p = three.select("p", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("q")).select(
         F.concat(F.lit("m"), "p.a").alias("a"), F.concat(F.lit("m"), "q.a").alias("b"), (F.col("p.x") + F.col("q.x")).alias("v"))
     names = ["m0", "m1", "m2"]
     return rounded(tables.symmetric(p, "a", "b", "v", names), *names)

@@ -252,7 +252,7 @@ WITH {I.SQL_DOCS} SELECT doc_id, upper(nname) AS nation, qty, status IS NULL AS
 def value_by_path(t):
     d = F.col("doc")
     return I.report_documents(t).select(
-        "doc_id", documents.value_at(d, "Customer.Nation.Name").alias("nation"), documents.value_at(d, "Lines.Totals.Qty").alias("qty"),
+        "doc_id", documents.value_at(d, "Customer.Nation.Home.Name").alias("nation"), documents.value_at(d, "Lines.Totals.Qty").alias("qty"),
         documents.value_at(d, "Lines.None").isNotNull().alias("absent"))
 
 
@@ -268,7 +268,7 @@ def struct_edits(t):
 
 TEMPLATE = documents.drop_key({
     "Order": {"Status": "", "Label": "", "Note": "", "Urgent": False},
-    "Customer": {"Nation": {"Name": ""}, "Phone": ""},
+    "Customer": {"Nation": {"Home": {"Name": ""}}, "Phone": ""},
     "Lines": {"Flags": [], "Count": 0, "total": 0, "Zip": ""},
     "MEST_C_score": {"M": "", "S": "", "T": "", "E": "", "C": ""},
     fixed.REMOVED_KEY: {"present": False},
@@ -286,7 +286,7 @@ SELECT doc_id, 'Order.Status' AS key, o_orderstatus AS value, 'direct' AS origin
 UNION ALL SELECT doc_id, 'Order.Label', plabel, 'alike' FROM d
 UNION ALL SELECT doc_id, 'Order.Note', CASE note WHEN '' THEN 'NA' ELSE note END, 'direct' FROM d
 UNION ALL SELECT doc_id, 'Order.Urgent', n, 'alike' FROM d
-UNION ALL SELECT doc_id, 'Customer.Nation.Name', n_name, 'direct' FROM d
+UNION ALL SELECT doc_id, 'Customer.Nation.Home.Name', n_name, 'direct' FROM d
 UNION ALL SELECT doc_id, 'Customer.Phone', n, 'alike' FROM d
 UNION ALL SELECT doc_id, 'Lines.Flags', '[' || flags || ']', 'direct' FROM d
 UNION ALL SELECT doc_id, 'Lines.Count', n, 'alike' FROM d
