@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import cut_lineage
+from ..session import cached, cut_lineage
 from . import metrics, pairs, reduce, tables
 from .components import components
 from .ranking import global_rank
@@ -49,7 +49,7 @@ def _labels(predicted: DataFrame) -> DataFrame:
 
 def kmeans(df: DataFrame, id_col: str, vec: str, k: int, n_init: int = 10, max_iter: int = 300, seed: int = 42) -> Found:
     """Best of several seeds by training cost (k-means||)."""
-    rows = _ml(df, id_col, vec).persist()
+    rows = cached(_ml(df, id_col, vec))
     try:
         fits = _fits(lambda i: KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-6).fit(rows), n_init)
         best = min(fits, key=lambda m: m.summary.trainingCost)
@@ -60,7 +60,7 @@ def kmeans(df: DataFrame, id_col: str, vec: str, k: int, n_init: int = 10, max_i
 
 
 def gaussian_mixture(df: DataFrame, id_col: str, vec: str, k: int, n_init: int = 1, seed: int = 42) -> Found:
-    rows = _ml(df, id_col, vec).persist()
+    rows = cached(_ml(df, id_col, vec))
     try:
         fits = _fits(lambda i: GaussianMixture(k=k, seed=seed + i).fit(rows), n_init)
         best = max(fits, key=lambda m: m.summary.logLikelihood)
@@ -72,7 +72,9 @@ def gaussian_mixture(df: DataFrame, id_col: str, vec: str, k: int, n_init: int =
 
 def bisecting(df: DataFrame, id_col: str, vec: str, k: int, seed: int = 42) -> Found:
     """Divisive hierarchy by repeated 2-means."""
-    model = BisectingKMeans(k=k, seed=seed).fit(_ml(df, id_col, vec))
+    rows = cached(_ml(df, id_col, vec))
+    model = BisectingKMeans(k=k, seed=seed).fit(rows)
+    rows.unpersist()
     return Found(_labels(model.transform(_ml(df, id_col, vec))), "Hierarchical",
                  {"n_clusters": str(k), "method": "bisecting"}, {}, model)
 
@@ -109,16 +111,18 @@ def _merge(points: np.ndarray, weight: np.ndarray, k: int, method: str) -> np.nd
 def hierarchical(df: DataFrame, id_col: str, vec: str, k: int, method: str = "ward", seed: int = 42,
                  micro: int = MICRO_CLUSTERS) -> Found:
     """Two levels: k-means to at most `micro` weighted centroids, then their linkage, then a label map."""
-    n = df.count()
-    m = min(micro, max(k, n // 2))
-    model = KMeans(k=m, seed=seed, maxIter=50).fit(_ml(df, id_col, vec))
+    rows = cached(_ml(df, id_col, vec))
+    m = min(micro, max(k, rows.count() // 2))
+    model = KMeans(k=m, seed=seed, maxIter=20).fit(rows)
+    rows.unpersist()
     small = _labels(model.transform(_ml(df, id_col, vec)))
     weight = {r.label: r.n for r in small.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     used = sorted(weight)
-    centres = np.array([model.clusterCenters()[i] for i in used])
+    centres = np.array(model.clusterCenters())[used]
     group = _merge(centres, np.array([weight[i] for i in used], dtype=float), min(k, len(used)), method)
-    to = F.create_map(*[x for i, g in zip(used, group) for x in (F.lit(i), F.lit(int(g)))])
-    return Found(small.select("id", to[F.col("label")].alias("label")), "Hierarchical",
+    of = dict(zip(used, group))
+    to = F.array(*[F.lit(int(of.get(i, -1))) for i in range(m)])
+    return Found(small.select("id", F.element_at(to, F.col("label") + 1).alias("label")), "Hierarchical",
                  {"n_clusters": str(k), "method": method})
 
 

@@ -186,6 +186,25 @@ def template_schema(template: Mapping) -> T.StructType:
     ])
 
 
+def flatten_template(df: DataFrame, doc: str, template: Mapping, out: str = "features") -> DataFrame:
+    """flatten() for documents that follow a template: one parse, and fields in template order.
+
+    Absent and null fields give no entry. Raw documents, whose types may differ, need flatten().
+    """
+    parsed = df.withColumn("_doc", F.from_json(doc, template_schema(template)))
+
+    def entry(path, default):
+        col = F.col("_doc." + ".".join(f"`{p}`" for p in path.split(".")))
+        kind = _default(default)[1]
+        value = {"STRING": F.lower(col), "BOOLEAN": F.initcap(col.cast("string")),
+                 "ARRAY": F.array_join(F.transform(col, F.lower), ", ") if kind == "ARRAY" else None}.get(kind, col.cast("string"))
+        return F.struct(F.lit(path.lower().replace(".", "_")).alias("key"), value.alias("value"),
+                        F.lit("LIST" if kind == "ARRAY" else kind).alias("type"))
+
+    entries = F.array(*[entry(p, d) for p, d in template_paths(template)])
+    return parsed.withColumn(out, F.filter(entries, lambda e: e.value.isNotNull())).drop("_doc")
+
+
 def load_template(path: str, key: str = fixed.REMOVED_KEY) -> tuple[dict, T.StructType]:
     """Template of a prompt file and its schema, without the removed key."""
     with open(path, encoding="utf-8") as f:

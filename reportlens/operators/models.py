@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import cached
 from . import metrics, pairs
 from .ranking import stratified_folds
 
@@ -116,7 +117,7 @@ def kernel_svm(width: int = 256, gamma: float | None = None, c: float = 1.0, max
             return pd.Series(list(np.sqrt(2 / width) * np.cos(m @ weights + shift)))
 
         lifted = lambda df: df.withColumn("_rff", array_to_vector(lift("vec")))
-        rows = lifted(train).persist()
+        rows = cached(lifted(train))
         n, fits = rows.count(), []
         for cls in range(classes if classes > 2 else 1):
             target = F.col("label") if classes == 2 else (F.col("label") == cls).cast("double")
@@ -216,7 +217,7 @@ def train_and_score(name: str, spec: Spec, train: DataFrame, test: DataFrame, cl
         begun = time.monotonic()
         fitted = spec(train, classes)
         seconds = time.monotonic() - begun
-        s = score(fitted(test).persist(), classes)
+        s = score(fitted(test), classes)
         cv = []
         if folds:
             marked = stratified_folds(train, "label", ["id"], folds).persist()
@@ -235,7 +236,7 @@ RESULTS = ("model string, status string, accuracy double, auc double, cv_mean do
 
 def model_table(train: DataFrame, test: DataFrame, specs: Mapping[str, Spec], folds: int = 5) -> DataFrame:
     """Result rows of all specs; the inputs come from ready()."""
-    train, test = train.persist(), test.persist()
+    train, test = cached(train), cached(test)
     classes = int(train.agg(F.max("label")).first()[0]) + 1
     rows = [train_and_score(n, s, train, test, classes, folds) for n, s in specs.items()]
     train.unpersist()

@@ -39,7 +39,7 @@ def class_axis(t):
 
 @query("E09 M07 DM10", f"{SQL_BASE}, {SQL_PROTOS} SELECT label, section, key, value, n FROM protos")
 def class_prototypes(t):
-    docs = I.section_documents(t).where(F.col("label") < 2)
+    docs = I.template_documents(t).where(F.col("label") < 2)
     return explain.prototypes(docs, "label", "doc_id").drop("ordinal")
 
 

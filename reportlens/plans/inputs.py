@@ -58,8 +58,23 @@ def flat_documents(t: Tables) -> DataFrame:
     return documents.flatten(report_documents(t), "doc")
 
 
+TEMPLATE = {
+    "Order": {"Status": "", "Priority": {"Code": 0, "Label": ""}, "Note": ""},
+    "Customer": {"Segment": "", "In_Debt": False, "Nation": {"Home": {"Name": "", "KEY": 0}}},
+    "Lines": {"Totals": {"N": 0, "Qty": 0}, "Flags": []},
+    "Shipping": {"Late": False, "Year": 0, "Extra": {"Batch": ""}},
+}
+
+
+def template_documents(t: Tables) -> DataFrame:
+    """(doc_id, source_file, label, features with section) of documents that follow the template."""
+    flat = documents.flatten_template(report_documents(t), "doc", TEMPLATE)
+    return flat.select("doc_id", "source_file", "label",
+                       documents.with_section(F.col("features"), SECTIONS).alias("features"))
+
+
 def section_documents(t: Tables) -> DataFrame:
-    """(doc_id, source_file, label, features with section)."""
+    """The same for raw documents."""
     flat = flat_documents(t)
     return flat.select("doc_id", "source_file", "label",
                        documents.with_section(F.col("features"), SECTIONS).alias("features"))
@@ -71,7 +86,7 @@ def embed(text: Column) -> Column:
 
 def report_cases(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(cases of classes 0 and 1 with their position parts, axis); written once, read by every edit."""
-    docs = section_documents(t).where(F.col("label") < 2)
+    docs = template_documents(t).where(F.col("label") < 2)
     rows = cut_lineage(explain.embed_sections(docs, "features", SECTIONS, embed))
     axis = cut_lineage(explain.class_axis(rows.withColumn("vec", F.flatten("vecs")), "vec", "label"))
     return explain.position_parts(rows, "vecs", axis, SECTIONS, DIM), axis

@@ -149,7 +149,7 @@ def tail_probabilities(t):
 
 # --- streams ----------------------------------------------------------------------------
 
-def arrived(t, parts: int = 3) -> str:
+def arrived(t, parts: int = 16) -> str:
     """A folder with the report documents as JSON lines in a few files."""
     path = f"{shared_dir(t.spark)}/reportlens/stream-{uuid.uuid4().hex}"
     docs = I.report_documents(t).select(F.col("doc_id").cast("string").alias("doc_id"), "doc")
@@ -163,9 +163,9 @@ WITH {I.SQL_DOCS}, s AS (SELECT doc_id, section, string_agg(key || ': ' || value
 cells AS ({I.sql_cells('s', 'doc_id')})
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(string_agg(t, '|' ORDER BY section)) AS texts, {R('(SELECT sum(x * x) FROM cells c WHERE c.doc_id = s.doc_id)', 'square')} FROM s GROUP BY doc_id""")
 def streamed_reports(t):
-    """Reports flattened and embedded as they arrive, one file per batch."""
+    """Reports flattened and embedded as they arrive, a few files per batch."""
     path = arrived(t)
-    rows = incremental.report_vectors(incremental.read_stream(t.spark, f"{path}/in", 1), I.SECTIONS, I.DIM)
+    rows = incremental.report_vectors(incremental.read_stream(t.spark, f"{path}/in", 8), I.SECTIONS, I.DIM)
     incremental.append_table(rows, f"{path}/out", f"{path}/state").awaitTermination()
     back = t.spark.read.parquet(f"{path}/out")
     texts = F.concat_ws("|", *[f"text_{s}" for s in sorted(I.SECTIONS)])
@@ -182,7 +182,7 @@ def streamed_labels(t):
     model = cluster.kmeans(fit.rows, "doc_id", "reduced", 3, n_init=1).model
     known.unpersist()
     path = arrived(t)
-    rows = incremental.report_vectors(incremental.read_stream(t.spark, f"{path}/in", 1), I.SECTIONS, I.DIM)
+    rows = incremental.report_vectors(incremental.read_stream(t.spark, f"{path}/in", 8), I.SECTIONS, I.DIM)
     labelled = incremental.assign_clusters(rows.select("doc_id", "embedding"), "embedding", fit.model, model)
     incremental.append_table(labelled.select("doc_id", "label"), f"{path}/out", f"{path}/state").awaitTermination()
     return t.spark.read.parquet(f"{path}/out").groupBy("label").agg(F.count(F.lit(1)).alias("n"))

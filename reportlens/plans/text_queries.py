@@ -223,6 +223,15 @@ def flattened_documents(t):
     return documents.explode_features(I.flat_documents(t), "doc_id")
 
 
+@query("C08 C09 C10 DM3", f"""
+WITH {I.SQL_DOCS}
+SELECT doc_id, section, key, value, type FROM feat WHERE value IS NOT NULL""")
+def template_features(t):
+    """The one-parse form for documents that follow their template."""
+    rows = documents.explode_features(I.template_documents(t), "doc_id")
+    return rows.select("doc_id", "section", "key", "value", "type")
+
+
 @query("C12 DM5", f"""
 WITH {I.SQL_DOCS}, s AS (SELECT doc_id, section, string_agg(key || ': ' || value, '; ' ORDER BY ordinal) AS t
   FROM feat WHERE value IS NOT NULL AND value <> '' GROUP BY doc_id, section)

@@ -400,7 +400,7 @@ def mixture_sizes(t):
 @query("I10 I11 I12 I13 U03 U05 F01 A11")
 def report_leaderboard(t):
     """Reports to ranked clusterings: flatten, embed sections, normalise, reduce, cluster, rank."""
-    docs = I.section_documents(t)
+    docs = I.template_documents(t)
     vecs = [I.embed(c) for c in [F.col(f"text_{s}") for s in I.SECTIONS]]
     rows = documents.section_texts(docs, "features", I.SECTIONS).select(
         "doc_id", V.concat_sections(vecs, I.DIM).alias("embedding"))

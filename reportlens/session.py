@@ -41,6 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+PART_ROWS = 50_000      # below this a part is not worth splitting
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """Persist rows for many passes; large parts are spread over the cores first."""
+    rows = df.persist()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = rows.rdd.getNumPartitions()
+    if parts >= cores or rows.count() <= parts * PART_ROWS:
+        return rows
+    spread = rows.repartition(cores).persist()
+    spread.count()
+    rows.unpersist()
+    return spread
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
