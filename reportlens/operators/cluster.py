@@ -179,34 +179,73 @@ def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int =
     return Found(out, "DBSCAN", {"eps": repr(eps), "min_samples": str(min_samples)})
 
 
+def _lasting(groups: DataFrame, cuts: Sequence[float]) -> DataFrame:
+    """(level, root, chosen) of the groups that hold more mass than the groups they split into.
+
+    Level 0 is the finest. A group's mass is its size times the density range of a level, added up along
+    the levels at which it does not split. What never splits off from the whole is not a cluster.
+    """
+    top = len(cuts) - 1
+    width = [1 / c - (1 / cuts[i + 1] if i < top else 0) for i, c in enumerate(cuts)]
+    nodes = groups.groupBy("level", "root").agg(F.max("size").alias("size"))
+    up = groups.select(F.col("id").alias("root"), (F.col("level") - 1).alias("level"), F.col("root").alias("parent"))
+    nodes = cut_lineage(nodes.join(up, ["level", "root"], "left"))
+    below, scored = None, []
+    for i in range(top + 1):
+        here = nodes.where(F.col("level") == i).withColumn("mass", F.col("size") * width[i])
+        if below is None:
+            here = here.withColumns({"own": F.col("mass"), "split": F.lit(0.0), "kids": F.lit(0)})
+        else:
+            kids = below.groupBy(F.col("parent").alias("root")).agg(
+                F.count(F.lit(1)).alias("kids"), F.max("own").alias("k_own"), F.max("split").alias("k_split"),
+                F.sum(F.greatest("own", "split")).alias("k_best"))
+            one = F.col("kids") == 1
+            here = here.join(kids, "root", "left").withColumn("kids", F.coalesce("kids", F.lit(0))).withColumns({
+                "own": F.col("mass") + F.when(one, F.col("k_own")).otherwise(0.0),
+                "split": F.when(one, F.col("k_split")).when(F.col("kids") > 1, F.col("k_best")).otherwise(0.0)})
+        below = cut_lineage(here.select("level", "root", "parent", "kids", "own", "split"))
+        scored.append(below)
+    whole = None
+    if scored[top].count() == 1:
+        whole = scored[top].select("root", "kids")
+        marked = [scored[top].withColumn("chosen", F.lit(False))]
+    else:
+        marked = [scored[top].withColumn("chosen", F.col("own") >= F.col("split"))]
+    for i in range(top - 1, -1, -1):
+        level = scored[i].withColumn("chosen", F.col("own") >= F.col("split"))
+        if whole is not None:
+            alone = whole.where("kids = 1").select(F.col("root").alias("parent"), F.lit(True).alias("alone"))
+            level = level.join(alone, "parent", "left").withColumn("chosen", F.col("chosen") & F.col("alone").isNull())
+            whole = level.where("alone").select("root", "kids")
+            level = level.drop("alone")
+        marked.append(level)
+    return fold(DataFrame.unionByName, marked).select("level", "root", "chosen")
+
+
 def density_levels(df: DataFrame, id_col: str, vec: str, min_cluster_size: int = 5, min_samples: int = 5,
                    levels: int = 8, metric: str = "euclidean") -> Found:
     """Density clusters that last over a grid of levels.
 
     Rows link by mutual reachability; at each level groups of at least min_cluster_size count. A row
-    takes the group whose size times the number of finer levels it holds together is largest.
+    takes the coarsest group on its path that holds more mass than what it splits into.
     """
     core = neighbour_distance(df, id_col, vec, min_samples, metric).select(
         F.col("id").alias(id_col), F.col("dist").alias("_core"))
-    marked = cut_lineage(df.join(core, id_col))
+    marked = cut_lineage(df.select(id_col, vec).join(core, id_col))
     links = cut_lineage(pairs.reach_links(marked, id_col, vec, "_core", metric))
-    probs = {f"q{i}": (i + 0.5) / levels for i in range(levels)}
-    cuts = tables.quantiles(marked, "_core", probs).first()
-    groups = None
-    for i in range(levels):
-        root = components(links.where(F.col("w") <= float(cuts[f"q{i}"])).select("a", "b"))
+    found = tables.quantiles(marked, "_core", {f"q{i}": (i + 1) / levels for i in range(levels)}).first()
+    cuts = sorted({max(float(c), 1e-12) for c in found})
+    cuts += [cuts[-1] * 1.5]
+    groups = []
+    for i, c in enumerate(cuts):
+        root = components(links.where(F.col("w") <= c).select("a", "b"))
         sized = root.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_cluster_size)
-        level = root.join(sized, "root").select("id", "root", "size", F.lit(i).alias("level"))
-        groups = level if groups is None else groups.unionByName(level)
-    groups = cut_lineage(groups)
-    held = groups.groupBy("root", "level").agg(F.max("size").alias("size"))
-    score = held.withColumn("score", F.col("size") * (F.lit(levels) - F.col("level"))) \
-        .withColumn("score", F.when(F.col("size") * 2 > F.lit(marked.count()), 0).otherwise(F.col("score")))
-    picked = groups.join(score.select("root", "level", "score"), ["root", "level"]) \
-        .groupBy("id").agg(F.max(F.struct("score", F.col("level"), F.col("root"))).alias("m"))
-    named = cut_lineage(picked.select("id", "m.level", "m.root"))
-    order = named.groupBy("level", "root").agg(F.min("id").alias("first"))
-    order = global_rank(order, ["first"], "label")
+        groups.append(root.join(sized, "root").select("id", "root", "size", F.lit(i).alias("level")))
+    groups = cut_lineage(fold(DataFrame.unionByName, groups))
+    chosen = _lasting(groups, cuts).where("chosen").select("level", "root")
+    named = groups.join(chosen, ["level", "root"]).groupBy("id").agg(F.max(F.struct("level", "root")).alias("m"))
+    named = cut_lineage(named.select("id", "m.level", "m.root"))
+    order = global_rank(named.groupBy("level", "root").agg(F.min("id").alias("first")), ["first"], "label")
     labelled = named.join(order, ["level", "root"]).select("id", (F.col("label") - 1).cast("int").alias("label"))
     out = marked.select(F.col(id_col).alias("id")).join(labelled, "id", "left") \
         .select("id", F.coalesce("label", F.lit(-1)).alias("label"))
@@ -260,11 +299,11 @@ METHODS: dict[str, Callable[..., Found]] = {
 }
 
 
-def cluster(df: DataFrame, id_col: str, vec: str, method: str, k: int = 2, **params) -> Found:
-    """One clustering by method name."""
-    if method.lower() not in METHODS:
-        raise ValueError(f"unknown method {method}; choose from {sorted(METHODS)}")
-    return METHODS[method.lower()](df, id_col, vec, k, **params)
+def cluster(df: DataFrame, id_col: str, vec: str, name: str, k: int = 2, **params) -> Found:
+    """One clustering by the name of its method."""
+    if name.lower() not in METHODS:
+        raise ValueError(f"unknown method {name}; choose from {sorted(METHODS)}")
+    return METHODS[name.lower()](df, id_col, vec, k, **params)
 
 
 def evaluate(df: DataFrame, id_col: str, vec: str, found: Found) -> dict | None:
@@ -340,6 +379,6 @@ def report_clusters(df: DataFrame, id_col: str, vec: str, dim: int, configs: Seq
     return tables.ranked_runs(tables.good_runs(runs)), assigned, rows
 
 
-def quick(df: DataFrame, id_col: str, vec: str, dim: int, method: str, k: int = 2, **params):
+def quick(df: DataFrame, id_col: str, vec: str, dim: int, name: str, k: int = 2, **params):
     """One algorithm through the same steps."""
-    return report_clusters(df, id_col, vec, dim, [(method, {"k": k, **params})])
+    return report_clusters(df, id_col, vec, dim, [(name, {"k": k, **params})])
