@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions import vectors as V
+from ..session import constant
 from . import metrics, models, tables
 from .documents import explode_features, features_text, section_text
 from .ranking import hash_key, shuffled_rank, stratified_folds, stratified_split
@@ -52,7 +53,7 @@ def prototypes(df: DataFrame, label: str, order: str, features: str = "features"
 
 def position_parts(df: DataFrame, vecs: str, axis: DataFrame, sections: Sequence[str], dim: int) -> DataFrame:
     """Adds the axis product and squared length of every section vector."""
-    rows = df.withColumn("_axis", axis.scalar())
+    rows = df.withColumn("_axis", constant(axis))
     return rows.withColumns({
         "dots": F.array(*[V.dot(F.col(vecs)[i], V.section_slice(F.col("_axis"), i, dim)) for i in range(len(sections))]),
         "squares": F.array(*[V.dot(F.col(vecs)[i], F.col(vecs)[i]) for i in range(len(sections))]),
@@ -65,7 +66,7 @@ def _position(dots: Column, squares: Column, eps: float = 1e-12) -> Column:
 
 def _shift(edits: DataFrame, embed: Embed, axis: DataFrame, sections: Sequence[str], dim: int) -> DataFrame:
     """delta_proj of an edit: one section vector is replaced, the others stay."""
-    rows = edits.withColumn("_axis", axis.scalar()).withColumn("_new", embed(F.col("new_text"))) \
+    rows = edits.withColumn("_axis", constant(axis)).withColumn("_new", embed(F.col("new_text"))) \
         .withColumn("_i", F.array_position(F.array(*map(F.lit, sections)), F.col("section")).cast("int"))
     part = F.slice("_axis", (F.col("_i") - 1) * dim + 1, dim)
     dot, sq = V.total(F.col("dots")), V.total(F.col("squares"))
@@ -85,7 +86,7 @@ def full_key(e: Column) -> Column:
 
 def _top_list(top: DataFrame, col: str = "feature") -> Column:
     """The top features as one array; their number is a parameter of the analysis."""
-    return top.agg(F.collect_set(col)).scalar()
+    return constant(top.agg(F.collect_set(col)))
 
 
 def _opposite(protos: DataFrame, top: DataFrame, label: str, class_a: int, class_b: int) -> Column:
@@ -93,7 +94,7 @@ def _opposite(protos: DataFrame, top: DataFrame, label: str, class_a: int, class
     kept = protos.withColumn("feature", F.concat("section", F.lit("_"), "key")).join(top.select("feature"), "feature", "left_semi")
     other = F.when(F.col(label) == class_a, class_b).when(F.col(label) == class_b, class_a)
     entry = F.struct(F.concat(other.cast("string"), F.lit(":"), "feature"), F.col("value"))
-    return kept.where(other.isNotNull()).agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+    return constant(kept.where(other.isNotNull()).agg(F.map_from_entries(F.collect_list(entry)).alias("m")))
 
 
 def delete_experiment(cases: DataFrame, top: DataFrame, axis: DataFrame, embed: Embed, sections: Sequence[str], dim: int,
@@ -188,7 +189,7 @@ def prototype_trajectory(protos: DataFrame, axis: DataFrame, embed: Embed, secti
     wide = texts.groupBy("start", "at").agg(*[
         F.max(F.when(F.col("section") == s, F.col("t"))).alias(f"t{i}") for i, s in enumerate(sections)])
     vec = V.concat_sections([embed(F.coalesce(f"t{i}", F.lit(""))) for i in range(len(sections))], dim)
-    wide = wide.withColumn("_vec", vec).withColumn("_axis", axis.scalar())
+    wide = wide.withColumn("_vec", vec).withColumn("_axis", constant(axis))
     named = steps.select("start", F.col("step").alias("at"), F.concat("section", F.lit(":"), "block").alias("d"))
     return wide.withColumn("position", V.dot(V.unit(F.col("_vec")), F.col("_axis"))).join(named, ["start", "at"], "left").select(
         "start", F.col("at").alias("step"), F.coalesce("d", F.lit("baseline")).alias("description"), "position")
@@ -278,7 +279,7 @@ class Surrogate:
         """
         test = self.test.select(F.col(self.id_col).cast("string").alias("id"), *self.features)
         ranked = shuffled_rank(test, ["id"], self.seed, (), "r")
-        total = test.agg(F.count(F.lit(1)).alias("n")).scalar()
+        total = constant(test.agg(F.count(F.lit(1)).alias("n")))
         walks = ranked.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         walks = walks.withColumn("partner", F.pmod(hash_key(self.seed, "draw", "id"), total) + 1)
         other = ranked.select(F.col("r").alias("partner"), F.struct(*self.features).alias("z"))

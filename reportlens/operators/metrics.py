@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import constant
 from . import pairs
 from .ranking import running_totals
 
@@ -60,7 +61,7 @@ def cosine_silhouette_rows(df: DataFrame, id_col: str, vec: str, label: str = "l
                                    V.normalize(F.col(vec)).alias("u"))
     sums = rows.groupBy(F.col("label").alias("other")).agg(
         vector_to_array(Summarizer.sum(array_to_vector("u"))).alias("total"), F.count(F.lit(1)).alias("size"))
-    packed = sums.agg(F.collect_list(F.struct("other", "total", "size")).alias("c")).scalar()
+    packed = constant(sums.agg(F.collect_list(F.struct("other", "total", "size")).alias("c")))
     wide = rows.withColumn("c", packed)
     mean = F.transform("c", lambda c: F.struct(
         c.other.alias("other"),
@@ -99,7 +100,7 @@ def euclidean_silhouette(df: DataFrame, id_col: str, vec: str, label: str = "lab
 def calinski_harabasz(df: DataFrame, vec: str, label: str = "label") -> DataFrame:
     """One row: between over within sum of squares, each by its degrees of freedom."""
     rows = valid(df, label)
-    mu = centroids(rows, vec).select("mean").scalar()
+    mu = constant(centroids(rows, vec).select("mean"))
     shifted = rows.withColumn("_mu", mu).select(
         F.col(label).alias("label"), V.subtract(F.col(vec), F.col("_mu")).alias("x"))
     v = array_to_vector("x")
@@ -120,7 +121,7 @@ def davies_bouldin(df: DataFrame, vec: str, label: str = "label") -> DataFrame:
     far = rows.join(mid, "label").withColumn("d", V.norm2(V.subtract(F.col("x"), F.col("mean"))))
     scatter = far.groupBy("label").agg(F.avg("d").alias("s"))
     c = mid.join(scatter, "label").select("label", "mean", "s")
-    packed = c.agg(F.collect_list(F.struct("label", "mean", "s")).alias("all")).scalar()
+    packed = constant(c.agg(F.collect_list(F.struct("label", "mean", "s")).alias("all")))
     ratios = F.transform(
         F.filter("all", lambda o: o.label != F.col("label")),
         lambda o: (F.col("s") + o.s) / V.norm2(V.subtract(F.col("mean"), o["mean"])))

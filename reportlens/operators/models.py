@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import cached
+from ..session import cached, constant
 from . import metrics, pairs
 from .ranking import stratified_folds
 
@@ -30,10 +30,10 @@ Spec = Callable[[DataFrame, int], Callable[[DataFrame], DataFrame]]
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights n / (classes * n_class); the class counts are one small row."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    packed = counts.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col(label), F.col("n").cast("double")))).alias("m")).scalar()
-    totals = counts.agg((F.sum("n") / F.count(F.lit(1))).alias("t")).scalar()
-    return df.withColumn(out, totals / F.element_at(packed, F.col(label)))
+    weights = counts.agg(F.collect_list(F.struct(F.col(label).alias("c"), F.col("n").cast("double").alias("n"))).alias("l")) \
+        .select(F.map_from_entries(F.transform("l", lambda e: F.struct(
+            e.c, F.aggregate("l", F.lit(0.0), lambda s, x: s + x.n) / F.size("l") / e.n))).alias("m"))
+    return df.withColumn(out, F.element_at(constant(weights), F.col(label)))
 
 
 def ready(df: DataFrame, id_col: str, vec: str, label: str) -> DataFrame:

@@ -138,15 +138,17 @@ def _rank_sums(df: DataFrame, value: str, cluster: str, strata: Sequence[str]) -
     sums = joined.groupBy(*strata, cluster).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("avg_rank")).alias("rank_sum"))
     ties = values.groupBy(*strata).agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
     sizes = sums.groupBy(*strata).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), F.min("n").alias("smallest"))
-    return sums, (sizes.join(ties, list(strata)) if strata else sizes.withColumn("ties", ties.scalar()))
+    return sums, sizes.join(ties, list(strata))
 
 
 def kruskal(df: DataFrame, value: str, cluster: str, *strata: str, min_rows: int = 0) -> DataFrame:
     """(strata, h, df, n): Kruskal-Wallis with tie correction; only where every cluster has min_rows."""
+    if not strata:
+        return kruskal(df.withColumn("_all", F.lit(1)), value, cluster, "_all", min_rows=min_rows).drop("_all")
     sums, sizes = _rank_sums(df, value, cluster, strata)
     sizes = sizes.where((F.col("k") > 1) & (F.col("smallest") >= min_rows))
     part = sums.groupBy(*strata).agg(F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("q"))
-    t = sizes.join(part, list(strata)) if strata else sizes.withColumn("q", part.scalar())
+    t = sizes.join(part, list(strata))
     n = F.col("total").cast("double")
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
     return t.select(*strata, h.alias("h"), (F.col("k") - 1).alias("df"), F.col("total").alias("n"))
@@ -154,11 +156,12 @@ def kruskal(df: DataFrame, value: str, cluster: str, *strata: str, min_rows: int
 
 def dunn(df: DataFrame, value: str, cluster: str, *strata: str) -> DataFrame:
     """(strata, group1, group2, z, p, p_adj) with Bonferroni; the clusters of a stratum are few."""
+    if not strata:
+        return dunn(df.withColumn("_all", F.lit(1)), value, cluster, "_all").drop("_all")
     sums, sizes = _rank_sums(df, value, cluster, strata)
     means = sums.select(*strata, F.col(cluster).cast("string").alias("c"), "n", (F.col("rank_sum") / F.col("n")).alias("m"))
     packed = means.groupBy(*strata).agg(F.array_sort(F.collect_list(F.struct("c", "n", "m"))).alias("g"))
-    t = packed.join(sizes, list(strata)) if strata else packed.withColumns(
-        {c: sizes.select(c).scalar() for c in ("total", "ties")})
+    t = packed.join(sizes, list(strata))
     first = t.select(*strata, "total", "ties", "g", F.posexplode("g").alias("i", "x"))
     both = first.select(*strata, "total", "ties", "x", F.size("g").alias("k"),
                         F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("y"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import constant
 from . import tables
 
 MAX_NARROW = 4096      # Spark's PCA keeps a dim x dim matrix on the driver: 128 MB at this width
@@ -159,7 +160,7 @@ def add_noise(df: DataFrame, vec: str, id_col: str, ratio: float, iteration: int
               out: str = "noisy") -> DataFrame:
     """Gaussian noise of ratio x feature spread, fixed by (seed, iteration, id) alone."""
     from . import metrics
-    spread = metrics.feature_std(df, vec).scalar()
+    spread = constant(metrics.feature_std(df, vec))
 
     @F.pandas_udf("array<double>")
     def shake(x: pd.Series, ids: pd.Series, std: pd.Series) -> pd.Series:

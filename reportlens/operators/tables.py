@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, text
+from ..session import constant
 from .ranking import global_rank, running_totals, sum_columns, top_per_group
 
 # --- choosing rows and columns ----------------------------------------------
@@ -60,7 +61,7 @@ def fill_vector_gaps(df: DataFrame, vec: str) -> DataFrame:
     cell = F.when(~F.isnan("x"), F.col("x"))
     means = df.select(F.posexplode(F.col(vec).cast("array<double>")).alias("i", "x")) \
         .groupBy("i").agg(F.avg(cell).alias("m"))
-    packed = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e.m).alias("m")).scalar()
+    packed = constant(means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e.m).alias("m")))
     filled = F.zip_with(F.col(vec).cast("array<double>"), F.col("_m"),
                         lambda x, m: F.when(x.isNull() | F.isnan(x), m).otherwise(x))
     return df.withColumn("_m", packed).withColumn(vec, filled).drop("_m")
@@ -150,7 +151,7 @@ def level_grid(df: DataFrame, variable: str, group: str, value: str) -> DataFram
 
     Both level sets are small; they meet through one packed list of levels.
     """
-    levels = df.agg(F.sort_array(F.collect_set(group)).alias("g")).scalar()
+    levels = constant(df.agg(F.sort_array(F.collect_set(group)).alias("g")))
     spans = df.groupBy(variable).agg((F.max(value) * 0.9).alias("global_max"), F.min(value).alias("global_min"))
     grid = spans.withColumn(group, F.explode(levels))
     heights = {"p_value_y": 0.95, "pairwise_y1": 1.02, "pairwise_y2": 1.07, "pairwise_y3": 1.12}

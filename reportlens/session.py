@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "reportlens") -> SparkSession:
@@ -61,3 +61,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def constant(one_row: DataFrame) -> Column:
+    """The value of a one-row table as a column.
+
+    It is computed once and written, so Python functions and lambdas can use it whether or not the
+    rows it came from are cached; a bare subquery over cached rows fails there.
+    """
+    return cut_lineage(one_row).scalar()
