@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import constant
+from ..session import constant, cut_lineage
 from . import pairs
 from .ranking import running_totals
 
@@ -148,6 +148,7 @@ def agreement(df: DataFrame, a: str, b: str, *group: str) -> DataFrame:
     Only the counts are shuffled. Both scores are 1 when each side has a single cluster.
     """
     cells = df.groupBy(*group, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    cells = cut_lineage(cells)
     rows = cells.groupBy(*group, "a").agg(F.sum("n").alias("n"))
     cols = cells.groupBy(*group, "b").agg(F.sum("n").alias("n"))
     xlogx = F.col("n") * F.log(F.col("n").cast("double"))
@@ -206,6 +207,7 @@ def roc_auc(df: DataFrame, y: str, score: str, *group: str) -> DataFrame:
     """(group, n, auc) for a 0/1 target; ties count half."""
     by = df.groupBy(*group, score).agg(F.sum(F.col(y).cast("bigint")).alias("pos"),
                                        F.sum((1 - F.col(y)).cast("bigint")).alias("neg"))
+    by = cut_lineage(by)
     ranked = running_totals(by, score, ["neg"], group)
     wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     total = F.sum("pos").cast("double") * F.sum("neg")

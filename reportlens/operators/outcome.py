@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails, text
+from ..session import cut_lineage
 from . import tables
 from .ranking import cut_points, running_totals, top_per_group
 
@@ -132,6 +133,7 @@ def _rank_sums(df: DataFrame, value: str, cluster: str, strata: Sequence[str]) -
     """((strata, cluster): n, rank sum) and ((strata): n, k, smallest cluster, tie sum)."""
     known = df.where(F.col(value).isNotNull() & F.col(cluster).isNotNull())
     cells = known.groupBy(*strata, cluster, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    cells = cut_lineage(cells)          # counts of distinct values, used five times
     values = cells.groupBy(*strata, "v").agg(F.sum("n").alias("t"))
     ranked = running_totals(values, "v", ["t"], strata).withColumn("avg_rank", F.col("before_t") + (F.col("t") + 1) / 2)
     joined = cells.join(ranked.select(*strata, "v", "avg_rank"), [*strata, "v"])
@@ -248,6 +250,7 @@ def kaplan_meier(df: DataFrame, time: str, event: str, *group: str) -> DataFrame
     """(group, time, at_risk, events, survival) at every observed time."""
     by = df.where(F.col(time).isNotNull() & F.col(event).isNotNull()).groupBy(*group, F.col(time).alias("time")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("bigint")).alias("events"))
+    by = cut_lineage(by)
     total = by.groupBy(*group).agg(F.sum("n").alias("total"))
     cuts = cut_points(by, "time")
     ranked = running_totals(by, "time", ["n"], group, cuts)
@@ -323,7 +326,7 @@ def cox(df: DataFrame, cols: Sequence[str], time: str, event: str, max_iter: int
             *[F.sum(c).alias(k) for k, c in terms.items()], *[F.sum(c * F.col("e")).alias("d" + k) for k, c in terms.items()],
             F.sum("e").alias("n_events"), F.sum(eta * F.col("e")).alias("eta_e"),
             *[F.sum(F.col(f"x{i}") * F.col("e")).alias(f"ex{i}") for i in range(p)])
-        per = per.withColumn("back", -F.col("t"))
+        per = cut_lineage(per.withColumn("back", -F.col("t")))
         ran = running_totals(per, "back", sums, (), sorted(-c for c in cuts)).where("n_events > 0")
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -111,7 +111,7 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], group: Sequen
 
 def value_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Average rank of each distinct value: (group, value, n, avg_rank)."""
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")))
     ranked = running_totals(counts, value, ["n"], group)
     return ranked.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / 2).drop("before_n")
 

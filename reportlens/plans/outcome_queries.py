@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..operators import cluster, outcome, reduce
 from ..session import shared_dir
+from ..sources.tables import save_model
 from ..streaming import incremental
 from . import inputs as I
 from .registry import R, query, r6, rounded
@@ -182,7 +184,9 @@ def streamed_labels(t):
     model = cluster.kmeans(fit.rows, "doc_id", "reduced", 3, n_init=1).model
     known.unpersist()
     path = arrived(t)
+    save_model(fit.model, f"{path}/reduction")
+    reduction = PipelineModel.load(f"{path}/reduction")
     rows = incremental.report_vectors(incremental.read_stream(t.spark, f"{path}/in", 8), I.SECTIONS, I.DIM)
-    labelled = incremental.assign_clusters(rows.select("doc_id", "embedding"), "embedding", fit.model, model)
+    labelled = incremental.assign_clusters(rows.select("doc_id", "embedding"), "embedding", reduction, model)
     incremental.append_table(labelled.select("doc_id", "label"), f"{path}/out", f"{path}/state").awaitTermination()
     return t.spark.read.parquet(f"{path}/out").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
