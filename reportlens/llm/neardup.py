@@ -289,3 +289,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", tile_r
     out = rows.select("id", "n_shingles", "f1", "f2").join(of, ["f1", "f2", "n_shingles"], "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", alone.alias("component_id"), F.col("id").eqNullSafe(alone).alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose key names their component, with their own columns; one document of each group.
+
+    The keys that go are found first. They are sent to every task if they are few, and else joined.
+    """
+    gone = written(near_groups(docs, key, text).where("not kept and component_id is not null").select(F.col(key).alias("_gone")).distinct())
+    if gone.count() <= MAX_BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[key].eqNullSafe(gone["_gone"]), "left_anti")

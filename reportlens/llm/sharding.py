@@ -13,10 +13,18 @@ HASH_BITS = 52
 ROWS_PER_BUCKET = 200_000
 
 
+def _number(text: Column) -> Column:
+    """HASH_BITS bits of the text's MD5 as a number, the same in any SQL engine."""
+    return F.conv(F.left(F.md5(text), F.lit(HASH_BITS // 4)), 16, 10).cast("bigint")
+
+
+def _text(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit("null"))
+
+
 def _cost(key: Column, shard: int, weight: float) -> Column:
     """-ln(u) / weight for a uniform u of key and shard; the smallest cost takes the key."""
-    digest = F.left(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f"/{shard}"))), F.lit(HASH_BITS // 4))
-    u = (F.conv(digest, 16, 10).cast("bigint") + 0.5) / float(1 << HASH_BITS)
+    u = (_number(F.concat(_text(key), F.lit(f"/{shard}"))) + 0.5) / float(1 << HASH_BITS)
     return -F.ln(u) / weight
 
 
@@ -45,4 +53,4 @@ def shard_rows(rows: DataFrame, key: str, weights: Mapping[int, float], grown: M
         out = out.withColumn("grown_shard", rendezvous(F.col(key), grown))
     n_rows = rows.count() if n_rows is None else n_rows
     buckets = max(8, -(-n_rows // (ROWS_PER_BUCKET * max(1, len(weights)))))
-    return numbered(out, ["shard"], columns, F.xxhash64(*columns), buckets, "slot")
+    return numbered(out, ["shard"], columns, _number(F.concat_ws("/", *[_text(F.col(c)) for c in columns])), buckets, "slot")

@@ -1,0 +1,18 @@
+"""DuckDB SQL for the operators that SQL can express."""
+
+from __future__ import annotations
+
+_NUMBER = "CAST('0x' || left(md5({}), 13) AS BIGINT)"
+
+
+def _shard_sql(shards: int) -> str:
+    return f"""
+WITH r AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, text FROM documents),
+c AS (SELECT d.doc_id, s.i AS shard, -ln(({_NUMBER.format("coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '/' || s.i")} + 0.5) / 4503599627370496.0) AS cost
+      FROM (SELECT DISTINCT doc_id FROM documents) d, range({shards + 1}) s(i)),
+w AS (SELECT doc_id, arg_min(shard, (cost, shard)) FILTER (WHERE shard < {shards}) AS shard, arg_min(shard, (cost, shard)) AS grown FROM c GROUP BY doc_id)
+SELECT r.doc_id, r.size, CAST(w.shard AS INTEGER) AS shard, CAST(w.grown AS INTEGER) AS grown_shard FROM r JOIN w ON r.doc_id IS NOT DISTINCT FROM w.doc_id
+"""
+
+
+ORACLES: dict[str, str] = {}
