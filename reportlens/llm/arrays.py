@@ -15,6 +15,7 @@ NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 BASE = 0x9E3779B97F4A7C15                       # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
 WINDOW = 1 << 20                                # bytes hashed at once
+SLICE = 2 << 20                                 # bytes of text that are worked on at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,6 +64,17 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[borders[0]:borders[-1]], borders - borders[0]
 
 
+def text_slices(column, size: int = SLICE) -> list[tuple[int, int]]:
+    """Ranges of rows with at most size bytes of text each, or one longer text."""
+    _, borders = text_buffer(column)
+    out, at = [], 0
+    while at < len(borders) - 1:
+        to = max(at + 1, int(np.searchsorted(borders, borders[at] + size, "right")) - 1)
+        out.append((at, to))
+        at = to
+    return out
+
+
 @dataclass
 class Words:
     """Words of a batch: byte borders, 64-bit hashes, and per text the range ptr[i]:ptr[i + 1]."""
@@ -78,6 +90,13 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ptr) - 1), self.counts)
 
+    @staticmethod
+    def joined(parts: list[Words]) -> Words:
+        """One batch of several, without byte borders."""
+        none, ends = np.zeros(0, np.int64), np.cumsum([0, *(len(p.hashes) for p in parts)])
+        ptr = np.concatenate([[0], *(p.ptr[1:] + e for p, e in zip(parts, ends))]).astype(np.int64)
+        return Words(none, none, ptr, np.concatenate([np.zeros(0, U64), *(p.hashes for p in parts)]))
+
     def part(self, keep: np.ndarray) -> tuple[Words, np.ndarray]:
         """Words of the kept texts, and the numbers of these texts."""
         texts = np.flatnonzero(keep)

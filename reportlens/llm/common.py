@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_dir
+from .arrays import text_slices
 
 SMALL_ROWS = 200_000        # tables of at most this many short rows may be broadcast
 
@@ -51,20 +52,24 @@ def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str
     return found.withColumn(out, F.col("_first") + F.col("_in") - 1).drop("_b", "_c", "_n", "_first", "_in", *[f"_{g}" for g in group])
 
 
-def mapped(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with a function of one record batch that gives a dict of columns, or None."""
+def mapped(df: DataFrame, fn: Callable, schema: T.StructType | str, text: str | None = None) -> DataFrame:
+    """mapInArrow with a function of one record batch that gives a dict of columns.
+
+    text names the column whose bytes bound the rows that fn sees at once.
+    """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(schema, prefers_large_types=False)
+    at = None if text is None else df.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
+            for a, b in [(0, batch.num_rows)] if at is None else text_slices(batch.column(at)):
+                if b > a:
+                    out = fn(batch.slice(a, b - a))
                     yield pa.RecordBatch.from_arrays([_as(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import NOT_ALNUM, U64, Words, chain, inside, mix, words_of
+from .arrays import NOT_ALNUM, U64, Words, chain, inside, mix, text_slices, words_of
 from .common import mapped
 
 EDITS = 0.2                 # edits per word of the item
@@ -107,22 +107,29 @@ class Index:
             groups[n] = np.array([ids[i] for i in own]), seq, keys[order], item[order], grams
         return Index(groups, np.unique(chain(words.hashes, GRAM)[inside(words, GRAM)]))
 
-    def found(self, words: Words) -> list[tuple[int, int, int, int, int]]:
+    def found(self, column) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, edits): the nearest, then first, window of each text and item.
 
         Each edit changes at most GRAM of a window's n - GRAM + 1 grams, and the others are grams of the
         item. Windows and texts with fewer grams of any item are left out without loss.
         """
-        grams = chain(words.hashes, GRAM)
-        known = _within(grams, self.grams) & inside(words, GRAM)
-        upto = np.concatenate([[0], np.cumsum(known), np.full(min(GRAM - 1, len(words.hashes)), known.sum())])
         needs = {n: n - GRAM + 1 - GRAM * allowed_edits(n) for n in self.groups}
         least = max(1, min((x for x in needs.values() if x > 0), default=1))
-        some = words.part(upto[words.ptr[1:]] - upto[words.ptr[:-1]] >= least)
-        every = words.part(np.ones(len(words.counts), bool)) if min(needs.values(), default=1) <= 0 else None
-        best: dict = {}
+        likely, texts, best = [], [np.zeros(0, np.int64)], {}
+        for at, to in text_slices(column):
+            words = words_of(column.slice(at, to - at), NOT_ALNUM, lower=True)
+            known = _within(chain(words.hashes, GRAM), self.grams) & inside(words, GRAM)
+            upto = np.concatenate([[0], np.cumsum(known), np.full(min(GRAM - 1, len(words.hashes)), known.sum())])
+            part, own = words.part(upto[words.ptr[1:]] - upto[words.ptr[:-1]] >= least)
+            likely.append(part)
+            texts.append(own + at)
+            for n in self.groups:
+                if needs[n] <= 0:
+                    self._search(words, np.arange(at, to), n, 0, best)
+        words, texts = Words.joined(likely), np.concatenate(texts)
         for n in self.groups:
-            self._search(*(some if needs[n] > 0 else every), n, needs[n], best)
+            if needs[n] > 0:
+                self._search(words, texts, n, needs[n], best)
         return [(text, i, first, n, e) for (text, i), (e, first, n) in sorted(best.items())]
 
     def _search(self, words: Words, texts: np.ndarray, n: int, need: int, best: dict) -> None:
@@ -173,7 +180,7 @@ def _hits(docs: DataFrame, index: Index, text: str) -> DataFrame:
 
     def find(batch):
         out = [[] for _ in range(batch.num_rows)]
-        for at, item, first, n, edits in sent.value.found(words_of(batch.column(1), NOT_ALNUM, lower=True)):
+        for at, item, first, n, edits in sent.value.found(batch.column(1)):
             out[at].append({"item": item, "first": first, "words": n, "edits": edits})
         return {"row": batch.column(0), "hits": out}
 

@@ -232,4 +232,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
         texts = main_texts(batch.column(2).to_pylist(), tree)
         return {key: batch.column(0), url: batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return mapped(pages.select(key, url, page), read, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars bigint")
+    return mapped(pages.select(key, url, page), read, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars bigint", page)

@@ -91,7 +91,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
         f1, f2 = _fingerprints(sets, borders)
         return {"id": batch.column(0), "n_shingles": np.diff(borders), "f1": f1, "f2": f2, "sig": _rows(signatures(sets, borders))}
 
-    return mapped(docs.select(F.col(key).alias("id"), text), sign, f"id {kind}, n_shingles bigint, f1 bigint, f2 bigint, sig binary")
+    return mapped(docs.select(F.col(key).alias("id"), text), sign, f"id {kind}, n_shingles bigint, f1 bigint, f2 bigint, sig binary", text)
 
 
 def keyed(classes: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
         f1, _ = _fingerprints(*shingle_sets(words_of(batch.column(1), lower=True), SHINGLE))
         return {"id": batch.column(0), "f1": f1, "text": batch.column(1)}
 
-    texts = mapped(rows, named, f"id {kind}, f1 bigint, text string").select(F.struct("id", "f1").alias("node"), "text")
+    texts = mapped(rows, named, f"id {kind}, f1 bigint, text string", "text").select(F.struct("id", "f1").alias("node"), "text")
     texts = written(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
@@ -172,7 +172,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
         keep = _indices(ok)
         return {"a": batch.column(0).take(keep), "b": batch.column(1).take(keep)}
 
-    return mapped(both, compare, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
+    return mapped(both, compare, T.StructType([pairs.schema["a"], pairs.schema["b"]]), "ta")
 
 
 def _blocks(n: Column, rows: int) -> Column:

@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             crc.append(zlib.crc32(body) if b + s + k <= e else zlib.crc32(tail, zlib.crc32(body)))
         return {key: batch.column(0).take(_int(out_of)), "piece": at, "start": start, "length": length, "ids_crc32": crc}
 
-    return mapped(docs.select(key, text), cut, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return mapped(docs.select(key, text), cut, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint", text)
 
 
 def _int(values):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_dir
+from .arrays import text_slices
 from .common import mapped
 from .tokens import encoder
 
@@ -172,7 +173,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
                      "seq_high": [(seq >> np.uint32(16)).astype("<u2").tobytes()], "begin": [g["begin"].astype("<i8").tobytes()]}
             return pa.RecordBatch.from_arrays([cells[f.name] if isinstance(cells[f.name], pa.Array) else pa.array(cells[f.name], f.type) for f in arrow], schema=arrow)
 
-        for batch in batches:
+        for batch in (b.slice(x, y - x) for b in batches for x, y in text_slices(b.column(1))):
             ids, borders = encoder(tokenizer).encode(batch.column(1))
             sizes = np.diff(borders) + 1
             upto = np.cumsum(sizes)

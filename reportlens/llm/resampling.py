@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import U64, chain, inside, mix, words_of
+from .arrays import U64, chain, inside, mix, text_slices, words_of
 from .common import mapped, packed, written
 
 BUCKETS = 1 << 16
@@ -43,8 +43,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         max_labelled: int = MAX_LABELLED) -> Model:
     """Counts n-grams of every document, and again of those labelled 1 in the bounded sample.
 
-    Each batch sends one short row per bucket it has seen, so what is shuffled does not grow with the
-    texts' length. share is the upper bound (three standard errors) of the share of label 1 in the
+    Each task sends one short row per bucket it has seen. share is the upper bound (three standard errors) of the share of label 1 in the
     sample. Without target documents every weight is 0 and all are kept.
     """
     known = labels.where(f"`{key}` is not null and `{label}` is not null").groupBy(key).agg(F.max(label).alias("_y"))
@@ -57,16 +56,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     target = F.broadcast(known.where("_y = 1").select(key, F.lit(True).alias("_target")))      # at most max_labelled rows
     rows = docs.select(key, text).join(target, key, "left").select(F.col(text).alias("text"), F.coalesce("_target", F.lit(False)).alias("target"))
 
-    def count(batch):
-        words = words_of(batch.column(0))
-        bucket, owner = _buckets(words)
-        raw = np.bincount(bucket, minlength=BUCKETS)
-        chosen = batch.column(1).to_numpy(zero_copy_only=False)[owner]
-        near = np.bincount(bucket[chosen], minlength=BUCKETS)
+    def count(batches):
+        import pyarrow as pa
+        raw, near = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for at, to in text_slices(batch.column(0)):
+                bucket, owner = _buckets(words_of(batch.column(0).slice(at, to - at)))
+                raw += np.bincount(bucket, minlength=BUCKETS)
+                chosen = batch.column(1).slice(at, to - at).to_numpy(zero_copy_only=False)
+                if chosen.any():
+                    near += np.bincount(bucket[chosen[owner]], minlength=BUCKETS)
         seen = np.flatnonzero(raw)
-        return {"bucket": seen, "raw": raw[seen], "target": near[seen]}
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(near[seen])], names=["bucket", "raw", "target"])
 
-    counts = mapped(rows, count, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
+    counts = rows.mapInArrow(count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     raw, near = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, r, t in counts.collect():                                # at most BUCKETS rows
         raw[b], near[b] = r, t
@@ -101,7 +104,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         u = ((draw >> U64(11)).astype(float) + 0.5) / 2.0**53
         return {"row": batch.column(0), "log_weight": weight, "place": _sortable(weight - np.log(-np.log(u)))}
 
-    return mapped(rows, score, schema)
+    return mapped(rows, score, schema, "_t")
 
 
 def kth_place(places: DataFrame, k: int) -> int | None:

@@ -8,9 +8,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .arrays import SPACE, text_buffer
+from .arrays import SPACE, text_buffer, text_slices
 
-MOST_KEPT = 2_000_000       # words a worker remembers; then it starts anew
+MOST_KEPT = 800_000       # words a worker remembers; then it starts anew
 
 
 def tokenizer_path(name: str) -> str:
@@ -91,6 +91,12 @@ class Encoder:
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their n + 1 borders; null is an empty text."""
+        done = [self._encode(column.slice(a, b - a)) for a, b in text_slices(column)]
+        ids, ends = [np.zeros(0, np.uint32), *(d[0] for d in done)], np.cumsum([0, *(len(d[0]) for d in done)])
+        borders = [np.zeros(1, np.int64), *(d[1][1:] + e for d, e in zip(done, ends))]
+        return np.concatenate(ids), np.concatenate(borders)
+
+    def _encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         data, borders = text_buffer(column)
         cuts = _cuts(data, borders)
         if not len(cuts):
@@ -99,9 +105,10 @@ class Encoder:
         pieces = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
         seen = pieces.dictionary_encode()
         names = seen.dictionary.to_pylist()
-        if len(self.place) > MOST_KEPT:
-            self._forget()
         new = [x for x in names if x not in self.place]
+        if len(self.place) + len(new) > MOST_KEPT:
+            self._forget()
+            new = names
         if new:
             self._learn(new)
         at = np.fromiter((self.place[x] for x in names), np.int64, len(names))[seen.indices.to_numpy()]
