@@ -4,7 +4,8 @@ A signature has SYMBOLS 16-bit symbols, one per MinHash function; two sets diffe
 probability 1 - J. Signatures within MAX_DIFFERENT symbols are found without loss: cut into CHUNKS
 chunks, two of them have a chunk with at most MAX_DIFFERENT // CHUNKS different symbols, and leaving out
 each allowed choice of symbols of a chunk gives the keys they must share. At J = 0.75 a pair differs in
-more symbols with probability 2e-4 and less above. Candidates are confirmed on the full shingle sets.
+more symbols with probability 2e-4 and less above. Of the pairs found, those go on to the full shingle sets whose second
+sketch, the least hash of each of BINS ranges of hashes, does not rule the similarity out.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from .common import mapped, written
 
 SHINGLE = 5
 SYMBOLS, MAX_DIFFERENT, CHUNKS = 32, 17, 9
+BINS, DEVIATIONS = 512, 3.7     # of the sketch; standard deviations below the similarity that it may fall
 PERCENT = 75                    # least similarity
 MAX_BROADCAST_IDS = 1_000_000
 TILE_ROWS = 1024                # rows of one block of a large bucket
 SMALL_BUCKET = 16               # buckets up to this size share tasks
 ROWS_PER_BIN = 50_000
+RANKS = [(0, 4), (4, 64), (64, 1 << 30)]    # a node's partners in a tile, likest first, round by round
 
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
 _FACTORS = mix(_SEEDS) | U64(1)
@@ -60,6 +63,16 @@ def signatures(sets: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(sets: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """(texts, BINS) bytes: of the hashes in each range the least one's, 0 where there is none."""
+    out = np.zeros((len(borders) - 1, BINS), np.uint8)
+    owner, bins = np.repeat(np.arange(len(borders) - 1), np.diff(borders)), (sets >> U64(55)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (bins[1:] != bins[:-1])])) if len(sets) else []
+    if len(first):                                     # sets are sorted, so ranges are runs and start with their least
+        out[owner[first], bins[first]] = (mix(sets[first]) % U64(255)).astype(np.uint8) + np.uint8(1)
+    return out
+
+
 def _fingerprints(sets: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two sums over each set that together name it."""
     out = []
@@ -78,20 +91,21 @@ def _rows(matrix: np.ndarray):
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).cast(pa.binary())
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), SYMBOLS)
+def _matrix(column, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
 
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n_shingles, f1, f2, sig) of every row."""
+    """(id, n_shingles, f1, f2, sig, sketch) of every row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def sign(batch):
         sets, borders = shingle_sets(words_of(batch.column(1), lower=True), SHINGLE)
         f1, f2 = _fingerprints(sets, borders)
-        return {"id": batch.column(0), "n_shingles": np.diff(borders), "f1": f1, "f2": f2, "sig": _rows(signatures(sets, borders))}
+        return {"id": batch.column(0), "n_shingles": np.diff(borders), "f1": f1, "f2": f2, "sig": _rows(signatures(sets, borders)),
+                "sketch": _rows(sketches(sets, borders))}
 
-    return mapped(docs.select(F.col(key).alias("id"), text), sign, f"id {kind}, n_shingles bigint, f1 bigint, f2 bigint, sig binary", text)
+    return mapped(docs.select(F.col(key).alias("id"), text), sign, f"id {kind}, n_shingles bigint, f1 bigint, f2 bigint, sig binary, sketch binary", text)
 
 
 def keyed(classes: DataFrame) -> DataFrame:
@@ -100,7 +114,7 @@ def keyed(classes: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("key", T.LongType()), classes.schema["node"]])
 
     def keys(batch):
-        sig = _matrix(batch.column(1)).astype(U64)
+        sig = _matrix(batch.column(1), np.uint16, SYMBOLS).astype(U64)
         out = np.empty((len(sig), len(choices)), np.int64)
         for k, choice in enumerate(choices):
             acc = np.full(len(sig), k + 1, U64)
@@ -117,19 +131,27 @@ def _indices(values):
     return pa.array(values, pa.int64())
 
 
-def _near(a, b, na, nb) -> np.ndarray:
-    """Whether signatures are within the threshold and sizes allow the similarity."""
-    close = (a != b).sum(axis=-1) <= MAX_DIFFERENT
-    return close & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb))
+def _near(a, b, na, nb) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sketches and sizes allow the similarity, and the share of equal bins.
+
+    The bins in use are a sample of the union without replacement, so a sketch that holds most of the
+    union leaves little doubt.
+    """
+    either = ((a | b) > 0).sum(axis=-1)
+    equal = ((a == b) & (a > 0)).sum(axis=-1)
+    p = PERCENT / 100
+    union = np.maximum(either, (na + nb) / (1 + p))
+    likely = equal >= p * either - 1 - DEVIATIONS * np.sqrt(p * (1 - p) * either * (1 - either / np.maximum(union, 1)))
+    return likely & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)), equal / np.maximum(either, 1)
 
 
 def close_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures are within the threshold."""
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    """The pairs (a, b) whose sketches allow the similarity."""
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
     def test(batch):
-        ok = _near(_matrix(batch.column(4)), _matrix(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy())
+        ok, _ = _near(_matrix(batch.column(4), np.uint8, BINS), _matrix(batch.column(5), np.uint8, BINS), batch.column(2).to_numpy(), batch.column(3).to_numpy())
         keep = _indices(np.flatnonzero(ok))
         return {"a": batch.column(0).take(keep), "b": batch.column(1).take(keep)}
 
@@ -179,28 +201,22 @@ def _blocks(n: Column, rows: int) -> Column:
     return F.ceil(n / rows).cast("int")
 
 
-def mixed_pairs(keys: DataFrame, classes: DataFrame, roots: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Pairs (a, b) within the signature threshold that share a key and are in different components.
+def mixed_tiles(keys: DataFrame, classes: DataFrame, roots: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Rows (task, key, i, j, side, node, n_shingles, sketch) of the buckets that hold several components.
 
-    Only buckets of three or more nodes in two or more components are looked at. Small buckets share
-    tasks, large ones are cut into tiles of two blocks of tile_rows: the bucket's largest component
-    against the others, and the others among themselves, so no task holds a bucket and no pair of one
-    component is compared.
+    Only buckets of three or more nodes are left to look at. Small buckets share tasks, large ones are
+    cut into tiles of two blocks of tile_rows: the bucket's largest component against the others, and
+    the others among themselves, so no task holds a bucket and no pair of that component is compared.
     """
-    node = classes.schema["node"].dataType
-    comp = classes.select("node", "n_shingles", "sig").join(roots, "node", "left")
-    comp = comp.withColumn("comp", F.coalesce("comp", "node"))
-    member = keys.join(comp.select("node", "comp"), "node")
+    comp = classes.select("node").join(roots, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    member = keys.join(comp, "node")
     parts = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    # The largest component of a bucket, by counts of its components.
     buckets = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
-    buckets = written(buckets.where("n >= 3 and comps >= 2").select("key", "n", F.col("top.comp").alias("top"), F.col("top.n").alias("top_n")))
-    rows = member.join(buckets, "key").join(classes.select("node", "n_shingles", "sig"), "node")
-    rows = written(rows.withColumn("rest", F.col("comp") != F.col("top")))
+    buckets = buckets.where("n >= 3 and comps >= 2").select("key", "n", F.col("top.comp").alias("top"), F.col("top.n").alias("top_n"))
+    rows = written(member.join(buckets, "key").withColumn("rest", F.col("comp") != F.col("top")).drop("comp", "top"))
     few = rows.where(F.col("n") <= SMALL_BUCKET)
     bins = max(1, -(-few.count() // ROWS_PER_BIN))
-    few = few.select(F.pmod(F.xxhash64("key"), F.lit(bins)).alias("task"), "key", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"),
-                     "node", "comp", "n_shingles", "sig")
+    few = few.select(F.pmod(F.xxhash64("key"), F.lit(bins)).alias("task"), "key", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "node")
     many = rows.where(F.col("n") > SMALL_BUCKET).withColumns({"nr": _blocks(F.col("n") - F.col("top_n"), tile_rows), "nt": _blocks(F.col("top_n"), tile_rows)})
     spot = lambda n: F.pmod(F.xxhash64("node", "key"), n).cast("int")
     # Blocks 0 .. nr-1 hold the rest, nr .. nr+nt-1 the largest component; a tile is (i, j), i <= j, i < nr.
@@ -208,43 +224,60 @@ def mixed_pairs(keys: DataFrame, classes: DataFrame, roots: DataFrame, tile_rows
     others = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("nr") + F.col("nt") - 1)).otherwise(F.sequence(F.lit(0), F.col("nr") - 1))
     many = many.withColumn("other", F.explode(others))
     many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "key",
-                       F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                       (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "n_shingles", "sig")
+                       F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
+    return written(few.union(many).join(classes.select("node", "n_shingles", "sketch"), "node"))
+
 
+def tile_pairs(tiles: DataFrame, roots: DataFrame, ranks: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of a tile in different components whose sketches allow the similarity.
+
+    Of the partners that a node has in a tile, by falling likeness of the sketches, those whose rank is
+    in the range; ranks do not depend on components, so ranges that follow each other miss no pair.
+    """
+    node = tiles.schema["node"].dataType
+    rows = tiles.join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
 
     def compare(table):
         import pyarrow as pa
         names: dict = {}
-        col = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "side", "n_shingles")}
         comp = np.array([names.setdefault((c["id"], c["f1"]), len(names)) for c in table.column("comp").to_pylist()])
+        nodes = table.column("node").combine_chunks()
+        if len(names) < 2:
+            return pa.table({"a": nodes.slice(0, 0), "b": nodes.slice(0, 0)})
+        col = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "side", "n_shingles")}
         order = np.lexsort((col["side"], col["j"], col["i"], col["key"]))
         key, i, j, side, n, comp = (x[order] for x in (*col.values(), comp))
-        sig = _matrix(table.column("sig"))[order]
+        sketch = _matrix(table.column("sketch"), np.uint8, BINS)[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         own, left, right = np.cumsum(new), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-        def keep(a, b):
-            ok = (own[a] == own[b]) & (comp[a] != comp[b])
-            a, b = a[ok], b[ok]
-            ok = _near(sig[a], sig[b], n[a], n[b])
-            left.append(a[ok])
-            right.append(b[ok])
+        def keep(a, b, begin=0, end=None):
+            ok, like = _near(sketch[a], sketch[b], n[a], n[b])
+            at = np.flatnonzero(ok)
+            if end is not None:
+                at = at[np.argsort(-like[at], kind="stable")][begin:end]
+            at = at[comp[a[at]] != comp[b[at]]]
+            left.append(a[at])
+            right.append(b[at])
 
         small_rows, large = np.flatnonzero(i < 0), np.flatnonzero(i >= 0)
-        for k in range(1, min(SMALL_BUCKET, len(small_rows))):
-            keep(small_rows[:-k], small_rows[k:])
+        for k in range(1, min(SMALL_BUCKET, len(small_rows)) if ranks[0] == 0 else 1):
+            same = own[small_rows[:-k]] == own[small_rows[k:]]
+            a, b = small_rows[:-k][same], small_rows[k:][same]
+            apart = comp[a] != comp[b]
+            keep(a[apart], b[apart])
         for block in np.split(large, np.flatnonzero(np.diff(own[large])) + 1) if len(large) else []:
             a, b = block[side[block] == 0], block[side[block] == 1]
-            for at, x in enumerate(a):
-                y = a[at + 1:] if i[x] == j[x] else b
-                keep(np.full(len(y), x), y)
-        nodes = table.column("node").combine_chunks()
+            if len(np.unique(comp[block])) > 1:
+                for at, x in enumerate(a):
+                    y = a[at + 1:] if i[x] == j[x] else b
+                    if len(y) and (comp[y] != comp[x]).any():
+                        keep(np.full(len(y), x), y, *ranks)
         ends = [nodes.take(_indices(order[np.concatenate(x)])) for x in (left, right)]
         return pa.table({"a": ends[0], "b": ends[1]})
 
-    found = few.union(many).groupBy("task").applyInArrow(compare, schema)
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return rows.groupBy("task").applyInArrow(compare, schema)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -262,27 +295,44 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", tile_r
     """(key, n_shingles, component_id, kept) of every row of docs.
 
     Equal shingle sets form one class, so copies never meet pair by pair. Each class is compared to the
-    smallest class of each of its buckets; then buckets that still hold several components are compared
-    across components, which leaves no pair under the signature threshold in two components unseen.
+    middle one of each of its buckets; then buckets that still hold several components are compared
+    across components, the likest pairs first, so that groups of near copies have grown together before
+    the rest. Each pair under the signature threshold is in one component or has been compared.
     component_id is the smallest key of the component; kept marks its rows. Rows that repeat a key are
     one document. A text without words, null or empty, is linked with nothing. Null keys join a
     component like others, but never name one: a component of null keys has a null id and keeps them.
     """
     rows = written(signed(docs, key, text))
-    classes = rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("_id"), F.first("sig").alias("sig"))
-    classes = written(classes.select(F.struct(F.col("_id").alias("id"), "f1").alias("node"), "f1", "f2", "n_shingles", "sig"))
+    classes = rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("_id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select(F.struct(F.col("_id").alias("id"), "f1").alias("node"), "f1", "f2", "n_shingles", "sig", "sketch"))
     keys = keyed(classes)
-    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
-    stars = keys.join(heads, "key").where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    stars = written(close_pairs(stars, classes))
-    first = written(stars.groupBy("a").agg(F.min("b").alias("b")))
+    # What copies have in common sits in large buckets, so the node with the largest ones is the middle of its group.
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(keys.join(sizes, "key"))
+    middle = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    ranked = shared.select("key", "node").join(middle, "node").select("key", F.struct("weight", "node").alias("at"))
+    heads = ranked.groupBy("key").agg(F.max("at").alias("head"))
+    stars = ranked.join(heads, "key").where("at <> head").select(F.col("at.node").alias("a"), F.col("head.node").alias("b"), F.col("head.weight").alias("w"))
+    stars = stars.distinct()
+    near = close_pairs(stars.select("a", "b"), classes)
+    stars = written(stars.join(near, ["a", "b"], "left_semi"))
+    first = written(stars.groupBy("a").agg(F.max(F.struct("w", "b")).alias("top")).select("a", "top.b"))
+    stars, keys = stars.select("a", "b"), shared.select("key", "node")
     links = written(confirmed(first, docs, key, text))
     roots = _grouped(links)
-    more = _apart(stars.join(first, ["a", "b"], "left_anti"), roots).union(mixed_pairs(keys, classes, roots, tile_rows))
-    more = written(more.distinct().join(first, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = written(links.union(confirmed(more, docs, key, text)))
-        roots = _grouped(links)
+    low = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried, tiles = low(first), None
+    for ranks in RANKS:
+        if tiles is None:
+            tiles = mixed_tiles(keys, classes, roots, tile_rows)
+            more = _apart(stars, roots).union(tile_pairs(tiles, roots, ranks))
+        else:
+            more = tile_pairs(tiles, roots, ranks)
+        more = written(low(more).join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            tried = tried.union(more)
+            links = links.union(written(confirmed(more, docs, key, text)))
+            roots = _grouped(links)
     lowest = roots.groupBy("comp").agg(F.min("node.id").alias("low"))
     of = classes.join(roots.join(lowest, "comp").select("node", "low"), "node", "left")
     of = of.select("f1", "f2", "n_shingles", F.coalesce("low", "node.id").alias("component_id"))
