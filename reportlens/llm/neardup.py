@@ -26,10 +26,10 @@ SYMBOLS, MAX_DIFFERENT, CHUNKS = 32, 17, 9
 BINS, DEVIATIONS = 512, 3.7     # of the sketch; standard deviations below the similarity that it may fall
 PERCENT = 75                    # least similarity
 MAX_BROADCAST_IDS = 1_000_000
-TILE_ROWS = 1024                # rows of one block of a large bucket
+TILE_ROWS = 512                 # rows of one block of a large bucket
 SMALL_BUCKET = 16               # buckets up to this size share tasks
 ROWS_PER_BIN = 50_000
-RANKS = [(0, 4), (4, 64), (64, 1 << 30)]    # a node's partners in a tile, likest first, round by round
+PARTNERS = [1, 16, None]        # a node's likest partners in a tile that a round compares; the last round takes all
 
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
 _FACTORS = mix(_SEEDS) | U64(1)
@@ -228,11 +228,10 @@ def mixed_tiles(keys: DataFrame, classes: DataFrame, roots: DataFrame, tile_rows
     return written(few.union(many).join(classes.select("node", "n_shingles", "sketch"), "node"))
 
 
-def tile_pairs(tiles: DataFrame, roots: DataFrame, ranks: tuple[int, int]) -> DataFrame:
+def tile_pairs(tiles: DataFrame, roots: DataFrame, partners: int | None) -> DataFrame:
     """Pairs (a, b) of a tile in different components whose sketches allow the similarity.
 
-    Of the partners that a node has in a tile, by falling likeness of the sketches, those whose rank is
-    in the range; ranks do not depend on components, so ranges that follow each other miss no pair.
+    Of the partners that a node has in a large tile, only so many with the likest sketches, or all.
     """
     node = tiles.schema["node"].dataType
     rows = tiles.join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -252,17 +251,16 @@ def tile_pairs(tiles: DataFrame, roots: DataFrame, ranks: tuple[int, int]) -> Da
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         own, left, right = np.cumsum(new), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-        def keep(a, b, begin=0, end=None):
+        def keep(a, b, most=None):
             ok, like = _near(sketch[a], sketch[b], n[a], n[b])
             at = np.flatnonzero(ok)
-            if end is not None:
-                at = at[np.argsort(-like[at], kind="stable")][begin:end]
-            at = at[comp[a[at]] != comp[b[at]]]
+            if most is not None:
+                at = at[np.argsort(-like[at], kind="stable")][:most]
             left.append(a[at])
             right.append(b[at])
 
         small_rows, large = np.flatnonzero(i < 0), np.flatnonzero(i >= 0)
-        for k in range(1, min(SMALL_BUCKET, len(small_rows)) if ranks[0] == 0 else 1):
+        for k in range(1, min(SMALL_BUCKET, len(small_rows))):
             same = own[small_rows[:-k]] == own[small_rows[k:]]
             a, b = small_rows[:-k][same], small_rows[k:][same]
             apart = comp[a] != comp[b]
@@ -272,8 +270,9 @@ def tile_pairs(tiles: DataFrame, roots: DataFrame, ranks: tuple[int, int]) -> Da
             if len(np.unique(comp[block])) > 1:
                 for at, x in enumerate(a):
                     y = a[at + 1:] if i[x] == j[x] else b
-                    if len(y) and (comp[y] != comp[x]).any():
-                        keep(np.full(len(y), x), y, *ranks)
+                    y = y[comp[y] != comp[x]]
+                    if len(y):
+                        keep(np.full(len(y), x), y, partners)
         ends = [nodes.take(_indices(order[np.concatenate(x)])) for x in (left, right)]
         return pa.table({"a": ends[0], "b": ends[1]})
 
@@ -322,12 +321,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", tile_r
     roots = _grouped(links)
     low = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried, tiles = low(first), None
-    for ranks in RANKS:
+    for partners in PARTNERS:
         if tiles is None:
             tiles = mixed_tiles(keys, classes, roots, tile_rows)
-            more = _apart(stars, roots).union(tile_pairs(tiles, roots, ranks))
+            more = _apart(stars, roots).union(tile_pairs(tiles, roots, partners))
         else:
-            more = tile_pairs(tiles, roots, ranks)
+            more = tile_pairs(tiles, roots, partners)
         more = written(low(more).join(tried, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             tried = tried.union(more)
