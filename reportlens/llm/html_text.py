@@ -161,6 +161,8 @@ LABELLED = [
     (140, 0.20, 0, 0.00, 0, 0.00, 0, 0, 0, 1), (20, 0.00, 5, 0.00, 60, 0.00, 0, 0, 0, 1), (6, 0.00, 50, 0.00, 60, 0.00, 0, 0, 0, 1),
     (8, 0.00, 2, 1.00, 70, 0.00, 0, 0, 0, 1), (3, 0.00, 45, 0.00, 40, 0.00, 0, 0, 0, 1), (4, 0.00, 12, 0.00, 30, 0.00, 0, 0, 0, 1),
     (9, 0.00, 40, 0.00, 20, 0.00, 0, 0, 0, 1), (1, 0.00, 25, 0.00, 18, 0.00, 0, 0, 0, 1), (16, 0.00, 30, 0.00, 4, 0.00, 0, 0, 0, 1),
+    (30, 0.00, 40, 0.00, 0, 0.00, 0, 0, 0, 1), (28, 0.05, 2, 1.00, 3, 0.00, 0, 0, 0, 1), (50, 0.00, 1, 1.00, 1, 1.00, 0, 0, 0, 1),
+    (22, 0.10, 5, 0.00, 5, 0.00, 0, 0, 0, 1), (70, 0.20, 0, 0.00, 4, 1.00, 0, 0, 0, 1), (35, 0.00, 12, 0.00, 9, 0.00, 0, 0, 0, 1),
     (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0), (4, 1.00, 0, 0.00, 3, 1.00, 0, 0, 0, 0), (3, 0.70, 2, 1.00, 5, 0.60, 0, 0, 0, 0),
     (6, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0), (7, 0.00, 4, 0.50, 6, 0.00, 0, 0, 0, 0), (2, 0.00, 3, 1.00, 0, 0.00, 0, 0, 0, 0),
     (30, 0.80, 12, 0.70, 9, 1.00, 0, 0, 0, 0), (60, 0.90, 50, 0.00, 40, 0.00, 0, 0, 0, 0), (9, 0.60, 40, 0.00, 3, 1.00, 0, 0, 0, 0),

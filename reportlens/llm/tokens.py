@@ -22,7 +22,7 @@ def _cuts(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Borders at which both tokenizers always split.
 
     A border lies before ASCII white space that follows something else, before a comma or full stop
-    that follows an ASCII letter, and before such a letter that follows a line feed. Characters that may be white space beyond ASCII are kept with
+    that follows an ASCII letter, and before such a letter that follows a single line feed. Characters that may be white space beyond ASCII are kept with
     what follows, since the tokenizers take runs of white space as a whole.
     """
     if not len(data):
@@ -37,7 +37,7 @@ def _cuts(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
     cut[at[odd]] = False
     letter = ((data | 0x20) >= 97) & ((data | 0x20) <= 122)
     stop = (data == 0x2C) | (data == 0x2E)
-    cut[1:] |= (stop[1:] & letter[:-1]) | (letter[1:] & (data[:-1] == 0x0A))
+    cut[1:] |= (stop[1:] & letter[:-1]) | (letter[1:] & (data[:-1] == 0x0A) & cut[:-1])
     cut[borders[:-1][np.diff(borders) > 0]] = True
     return np.flatnonzero(cut)
 
