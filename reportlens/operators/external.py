@@ -105,8 +105,9 @@ def embed_texts(df: DataFrame, text_col: str, embedder: Callable[[list[str]], Se
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at:at + batch]
                 vecs, _, error = run(part["t"].tolist())
-                if error is not None:
-                    vecs = [None] * len(part)
+                if error is not None:           # one bad text must not cost the others their vectors
+                    each = [run([t]) for t in part["t"]]
+                    vecs = [None if e is not None else v[0] for v, _, e in each]
                 yield pd.DataFrame({"_key": part["_key"], "_vec": [
                     None if v is None else np.asarray(v, dtype=np.float32) for v in vecs]})
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -45,14 +44,16 @@ def run_counts(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def cosine_silhouette(df: DataFrame, vec: str, label: str = "label") -> float | None:
-    """Mean cosine silhouette without noise; linear in the rows. Null below 2 clusters or 4 rows."""
+    """Mean cosine silhouette without noise; linear in the rows. Null below 2 clusters or 4 rows.
+
+    A zero vector is at distance 1 from every row, as in the row form.
+    """
     rows = valid(df, label)
     shape = rows.agg(F.countDistinct(label), F.count(F.lit(1))).first()
     if shape[0] < 2 or shape[1] < 4:
         return None
-    ready = rows.select(array_to_vector(V.as_double(F.col(vec))).alias("features"),
-                        F.col(label).cast("double").alias("prediction"))
-    return ClusteringEvaluator(distanceMeasure="cosine").evaluate(ready)
+    numbered = rows.select(F.monotonically_increasing_id().alias("_row"), vec, label)
+    return cosine_silhouette_rows(numbered, "_row", vec, label).agg(F.avg("s")).first()[0]
 
 
 def cosine_silhouette_rows(df: DataFrame, id_col: str, vec: str, label: str = "label") -> DataFrame:
