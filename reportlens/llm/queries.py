@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, licenses, neardup, packing, quality_rules, repair, resampling, sharding, url_filter
-from .sql import ORACLES
 from .tokens import tokenizer_path
 
 SHARDS = 40
@@ -76,4 +75,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    """None of the ten has SQL for all of its columns; tests/llm holds them against brute force."""
+    return {}
