@@ -109,9 +109,9 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def keyed(classes: DataFrame) -> DataFrame:
-    """(key, node): the keys of each class's signature."""
+    """(key, choice, node): the keys of each class's signature, and which choice of symbols each is made of."""
     choices = key_choices()
-    schema = T.StructType([T.StructField("key", T.LongType()), classes.schema["node"]])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("choice", T.IntegerType()), classes.schema["node"]])
 
     def keys(batch):
         sig = _matrix(batch.column(1), np.uint16, SYMBOLS).astype(U64)
@@ -121,7 +121,7 @@ def keyed(classes: DataFrame) -> DataFrame:
             for c in choice:
                 acc = mix(acc) + sig[:, c]
             out[:, k] = mix(acc).view(np.int64)
-        return {"key": out.reshape(-1), "node": batch.column(0).take(_indices(np.repeat(np.arange(len(sig)), len(choices))))}
+        return {"key": out.reshape(-1), "choice": np.tile(np.arange(len(choices)), len(sig)), "node": batch.column(0).take(_indices(np.repeat(np.arange(len(sig)), len(choices))))}
 
     return mapped(classes.select("node", "sig"), keys, schema)
 
@@ -145,6 +145,16 @@ def _near(a, b, na, nb) -> tuple[np.ndarray, np.ndarray]:
     return likely & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)), equal / np.maximum(either, 1)
 
 
+def _met_before(a: np.ndarray, b: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Whether two signatures share the key of an earlier choice, so that their pair belongs to another bucket."""
+    masks = np.array([sum(1 << c for c in x) for x in key_choices()], U64)
+    equal = np.ascontiguousarray(np.packbits(a == b, axis=-1, bitorder="little")).view(np.uint32)[:, 0].astype(U64)
+    out = np.zeros(len(equal), bool)
+    for k in range(int(choice.max(initial=0))):
+        out |= (equal & masks[k] == masks[k]) & (k < choice)
+    return out
+
+
 def close_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches allow the similarity."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
@@ -202,7 +212,7 @@ def _blocks(n: Column, rows: int) -> Column:
 
 
 def mixed_tiles(keys: DataFrame, classes: DataFrame, roots: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Rows (task, key, i, j, side, node, n_shingles, sketch) of the buckets that hold several components.
+    """Rows (task, key, choice, i, j, side, node, n_shingles, sig, sketch) of the buckets that hold several components.
 
     Only buckets of three or more nodes are left to look at. Small buckets share tasks, large ones are
     cut into tiles of two blocks of tile_rows: the bucket's largest component against the others, and
@@ -216,22 +226,23 @@ def mixed_tiles(keys: DataFrame, classes: DataFrame, roots: DataFrame, tile_rows
     rows = written(member.join(buckets, "key").withColumn("rest", F.col("comp") != F.col("top")).drop("comp", "top"))
     few = rows.where(F.col("n") <= SMALL_BUCKET)
     bins = max(1, -(-few.count() // ROWS_PER_BIN))
-    few = few.select(F.pmod(F.xxhash64("key"), F.lit(bins)).alias("task"), "key", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "node")
+    few = few.select(F.pmod(F.xxhash64("key"), F.lit(bins)).alias("task"), "key", "choice", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "node")
     many = rows.where(F.col("n") > SMALL_BUCKET).withColumns({"nr": _blocks(F.col("n") - F.col("top_n"), tile_rows), "nt": _blocks(F.col("top_n"), tile_rows)})
     spot = lambda n: F.pmod(F.xxhash64("node", "key"), n).cast("int")
     # Blocks 0 .. nr-1 hold the rest, nr .. nr+nt-1 the largest component; a tile is (i, j), i <= j, i < nr.
     many = many.withColumn("own", F.when(F.col("rest"), spot(F.col("nr"))).otherwise(F.col("nr") + spot(F.col("nt"))))
     others = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("nr") + F.col("nt") - 1)).otherwise(F.sequence(F.lit(0), F.col("nr") - 1))
     many = many.withColumn("other", F.explode(others))
-    many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "key",
+    many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "key", "choice",
                        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
-    return written(few.union(many).join(classes.select("node", "n_shingles", "sketch"), "node"))
+    return written(few.union(many).join(classes.select("node", "n_shingles", "sig", "sketch"), "node"))
 
 
 def tile_pairs(tiles: DataFrame, roots: DataFrame, partners: int | None) -> DataFrame:
     """Pairs (a, b) of a tile in different components whose sketches allow the similarity.
 
-    Of the partners that a node has in a large tile, only so many with the likest sketches, or all.
+    A pair is looked at in the first of the buckets that it shares only. Of the partners that a node has
+    in a large tile, only so many with the likest sketches, or all.
     """
     node = tiles.schema["node"].dataType
     rows = tiles.join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -244,14 +255,16 @@ def tile_pairs(tiles: DataFrame, roots: DataFrame, partners: int | None) -> Data
         nodes = table.column("node").combine_chunks()
         if len(names) < 2:
             return pa.table({"a": nodes.slice(0, 0), "b": nodes.slice(0, 0)})
-        col = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "side", "n_shingles")}
+        col = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "side", "n_shingles", "choice")}
         order = np.lexsort((col["side"], col["j"], col["i"], col["key"]))
-        key, i, j, side, n, comp = (x[order] for x in (*col.values(), comp))
-        sketch = _matrix(table.column("sketch"), np.uint8, BINS)[order]
+        key, i, j, side, n, choice, comp = (x[order] for x in (*col.values(), comp))
+        sig, sketch = _matrix(table.column("sig"), np.uint16, SYMBOLS)[order], _matrix(table.column("sketch"), np.uint8, BINS)[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         own, left, right = np.cumsum(new), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def keep(a, b, most=None):
+            new = ~_met_before(sig[a], sig[b], choice[a])
+            a, b = a[new], b[new]
             ok, like = _near(sketch[a], sketch[b], n[a], n[b])
             at = np.flatnonzero(ok)
             if most is not None:
@@ -316,7 +329,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", tile_r
     near = close_pairs(stars.select("a", "b"), classes)
     stars = written(stars.join(near, ["a", "b"], "left_semi"))
     first = written(stars.groupBy("a").agg(F.max(F.struct("w", "b")).alias("top")).select("a", "top.b"))
-    stars, keys = stars.select("a", "b"), shared.select("key", "node")
+    stars, keys = stars.select("a", "b"), shared.select("key", "choice", "node")
     links = written(confirmed(first, docs, key, text))
     roots = _grouped(links)
     low = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
