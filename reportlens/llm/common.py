@@ -13,6 +13,7 @@ from ..session import shared_dir
 from .arrays import text_slices
 
 SMALL_ROWS = 200_000        # tables of at most this many short rows may be broadcast
+BATCH_ROWS = 1_000          # rows that Spark hands to Python at once; whole texts are in them
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -52,11 +53,19 @@ def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str
     return found.withColumn(out, F.col("_first") + F.col("_in") - 1).drop("_b", "_c", "_n", "_first", "_in", *[f"_{g}" for g in group])
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Lowers the session's rows per Arrow batch, so buffers of texts on both sides stay small."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+
+
 def mapped(df: DataFrame, fn: Callable, schema: T.StructType | str, text: str | None = None) -> DataFrame:
     """mapInArrow with a function of one record batch that gives a dict of columns.
 
     text names the column whose bytes bound the rows that fn sees at once.
     """
+    bound_batches(df)
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..session import shared_dir
 from .arrays import text_slices
-from .common import mapped
+from .common import bound_batches, mapped
 from .tokens import encoder
 
 SHARD_IDS = 1 << 20
@@ -194,6 +194,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
         if held:
             yield flush()
 
+    bound_batches(rows)
     rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
 
 

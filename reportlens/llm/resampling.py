@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import U64, chain, inside, mix, text_slices, words_of
-from .common import mapped, packed, written
+from .common import bound_batches, mapped, packed, written
 
 BUCKETS = 1 << 16
 MAX_LABELLED = 20_000       # labelled documents the target model is fitted on: those with the smallest hashes
@@ -69,6 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(near[seen])], names=["bucket", "raw", "target"])
 
+    bound_batches(rows)
     counts = rows.mapInArrow(count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     raw, near = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, r, t in counts.collect():                                # at most BUCKETS rows
