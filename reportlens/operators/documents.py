@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import fixed, text
 
 ENTRY = "array<struct<key:string,value:string,type:string>>"
+STREAM_LEVELS = 12          # levels of nested objects that a stream opens
 
 
 def _kind(variant: Column) -> Column:
@@ -100,23 +101,54 @@ def _last_wins(entries: Column) -> Column:
     return F.when(F.size(keys) == F.size(entries), entries).otherwise(merged)
 
 
-def nodes(df: DataFrame, doc: str, out: str, levels: int = 6) -> DataFrame:
+def depth(doc: Column) -> Column:
+    """How deep objects and lists are nested in JSON text; 0 for null."""
+    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(doc, r"(?s)\\.", ""), '"[^"]*+"', ""), r"[^{}\[\]]+", "")
+
+    def step(s, c):
+        now = s["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.coalesce(F.aggregate(F.split(marks, ""), start, step, lambda s: s["most"]), F.lit(0))
+
+
+def _levels(df: DataFrame, doc: str, levels: int | None) -> int:
+    """The levels to open: those given, else as many as the deepest document has.
+
+    A stream cannot be looked at first, so it opens STREAM_LEVELS.
+    """
+    if levels is None:
+        levels = STREAM_LEVELS if df.isStreaming else df.agg(F.max(depth(F.col(doc)))).first()[0] or 1
+    return max(1, levels)
+
+
+def _all_opened(entries: Column, levels: int) -> Column:
+    """The entries; an error if an object with members is still closed."""
+    closed = F.exists(entries, lambda e: (e.type == "OBJECT") & (F.size(children(e.value)) > 0))
+    return F.when(closed, F.raise_error(F.lit(f"a document is nested deeper than {levels} levels")).cast(ENTRY)).otherwise(entries)
+
+
+def nodes(df: DataFrame, doc: str, out: str, levels: int | None = None) -> DataFrame:
     """All members by dotted path, depth first, objects (type OPENED) before their members."""
+    levels = _levels(df, doc, levels)
     df = df.withColumn(out, children(F.col(doc), None, ".", False))
     for _ in range(levels - 1):
         df = df.withColumn(out, _open_nodes(F.col(out)))
-    return df
+    return df.withColumn(out, _all_opened(F.col(out), levels))
 
 
-def flatten(df: DataFrame, doc: str, out: str = "features", levels: int = 6) -> DataFrame:
+def flatten(df: DataFrame, doc: str, out: str = "features", levels: int | None = None) -> DataFrame:
     """One array column of (key, value, type): keys joined by _ and values in lower case.
 
-    Empty objects vanish, lists become comma-joined text, a later duplicate key wins.
+    Empty objects vanish, lists become comma-joined text, a later duplicate key wins. Documents may be
+    nested as deep as they like; beyond given levels, or STREAM_LEVELS on a stream, they end the query.
     """
+    levels = _levels(df, doc, levels)
     df = df.withColumn(out, children(F.col(doc)))
     for _ in range(levels - 1):
         df = df.withColumn(out, _open(F.col(out), "_", True))
-    df = df.withColumn(out, F.filter(F.col(out), lambda e: e.type != "OBJECT"))
+    df = df.withColumn(out, F.filter(_all_opened(F.col(out), levels), lambda e: e.type != "OBJECT"))
     return df.withColumn(out, _last_wins(F.transform(F.col(out), _printed)))
 
 
@@ -186,12 +218,15 @@ def template_schema(template: Mapping) -> T.StructType:
     ])
 
 
-def flatten_template(df: DataFrame, doc: str, template: Mapping, out: str = "features") -> DataFrame:
-    """flatten() for documents that follow a template: one parse, and fields in template order.
+def flatten_template(df: DataFrame, doc: str, template: Mapping, out: str = "features", levels: int | None = None) -> DataFrame:
+    """flatten() for documents that mostly follow a template: one parse, and fields in template order.
 
-    Absent and null fields give no entry. Raw documents, whose types may differ, need flatten().
+    A document that the template's schema does not hold in full, since a value has another type or a key
+    is unknown, is flattened as it is, in its own order. Absent and null fields give no entry.
     """
     parsed = df.withColumn("_doc", F.from_json(doc, template_schema(template)))
+    whole = F.to_json(F.try_parse_json(F.to_json("_doc"))) == F.to_json(F.try_parse_json(doc))
+    parsed = parsed.withColumn("_other", F.when(~F.coalesce(whole, F.lit(False)), F.col(doc)))
 
     def entry(path, default):
         col = F.col("_doc." + ".".join(f"`{p}`" for p in path.split(".")))
@@ -202,7 +237,9 @@ def flatten_template(df: DataFrame, doc: str, template: Mapping, out: str = "fea
                         F.lit("LIST" if kind == "ARRAY" else kind).alias("type"))
 
     entries = F.array(*[entry(p, d) for p, d in template_paths(template)])
-    return parsed.withColumn(out, F.filter(entries, lambda e: e.value.isNotNull())).drop("_doc")
+    rows = flatten(parsed, "_other", "_entries", _levels(df, doc, levels))
+    entries = F.when(F.col("_other").isNull(), entries).otherwise(F.col("_entries"))
+    return rows.withColumn(out, F.filter(entries, lambda e: e.value.isNotNull() & (e.type != "VOID"))).drop("_doc", "_other", "_entries")
 
 
 def load_template(path: str, key: str = fixed.REMOVED_KEY) -> tuple[dict, T.StructType]:
@@ -232,7 +269,7 @@ def _default(value: object) -> tuple[str, str]:
 
 
 def map_to_template(df: DataFrame, doc: str, template: Mapping, out: str = "mapped",
-                    fuzzy: bool = True, subtrees: bool = False, score_section: str = fixed.SCORE_SECTION, levels: int = 6) -> DataFrame:
+                    fuzzy: bool = True, subtrees: bool = False, score_section: str = fixed.SCORE_SECTION, levels: int | None = None) -> DataFrame:
     """One entry per template leaf: its own path, else the first member with a like name, else the default.
 
     Members are leaves, or whole objects too with `subtrees`. Names are alike if the last part of either lower-cased path holds the other. Blank text becomes

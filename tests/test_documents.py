@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from reportlens.functions import fixed, text
@@ -86,6 +87,26 @@ def test_both_flatteners_agree(spark):
     assert kv(D.flatten(df, "doc")) == kv(D.flatten_template(df, "doc", template))
 
 
+def test_nothing_is_lost_below_six_levels(spark):
+    doc = {"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": {"i": "deep"}}, "t": "a } \" { b"}}, "x": "kept"}}}}}
+    df = spark.createDataFrame([(json.dumps(doc),), ('{"k": 1}',), (None,)], "doc string")
+    got = {r.key: r.value for r in D.explode_features(D.flatten(df, "doc")).collect()}
+    assert got == {"a_b_c_d_e_f_g_h_i": "deep", "a_b_c_d_e_f_t": 'a } " { b', "a_b_c_d_x": "kept", "k": "1"}
+    mapped = D.map_to_template(df.limit(1), "doc", {"z": {"i": "none"}}).first().mapped
+    assert [(m.value, m.origin) for m in mapped] == [("deep", "alike")]
+    with pytest.raises(Exception, match="nested deeper than 3 levels"):
+        D.flatten(df, "doc", levels=3).collect()
+
+
+def test_documents_off_the_template_lose_nothing(spark):
+    template = {"S": {"Code": 1, "Name": "n", "Tags": ["t"]}}
+    docs = [{"S": {"Code": "two", "Name": "A"}}, {"S": {"Code": 2, "Name": "A", "More": {"New": "B"}}}, {"S": {"Code": 3, "Name": None}}, {"S": {"Name": ["x", "Y"]}}]
+    for doc in docs:
+        df = spark.createDataFrame([(json.dumps(doc),)], "doc string")
+        full = {k: v for k, v in flat(spark, doc).items() if v is not None}
+        assert {r.key: r.value for r in D.explode_features(D.flatten_template(df, "doc", template)).collect()} == full
+
+
 def test_ids_of_file_names(spark):
     names = ["/a/b/pathology_features_ph1_RB2.json", "pathology_features_x.json", "a_b_c.tar.json", ""]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(text.ids_of_file(F.col("n")).alias("i")).select("i.*")
