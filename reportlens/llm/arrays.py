@@ -14,8 +14,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 BASE = 0x9E3779B97F4A7C15                       # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
-WINDOW = 1 << 20                                # bytes hashed at once
-SLICE = 2 << 20                                 # bytes of text that are worked on at once
+WINDOW = 1 << 18                                # bytes hashed at once
+SLICE = 512 << 10                               # bytes of text that are worked on at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:

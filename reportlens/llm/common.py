@@ -80,6 +80,7 @@ def mapped(df: DataFrame, fn: Callable, schema: T.StructType | str, text: str |
                 if b > a:
                     out = fn(batch.slice(a, b - a))
                     yield pa.RecordBatch.from_arrays([_as(out[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()      # workers stay for the next stage
 
     return df.mapInArrow(run, schema)
 
