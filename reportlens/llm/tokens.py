@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from .arrays import SPACE, text_buffer, text_slices
 
-MOST_KEPT = 800_000       # words a worker remembers; then it starts anew
+MOST_KEPT = 250_000       # words a worker remembers; then it starts anew
 
 
 def tokenizer_path(name: str) -> str:
