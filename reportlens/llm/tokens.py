@@ -8,9 +8,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .arrays import SPACE, text_buffer, text_slices
+from .arrays import SPACE, hash_runs, text_buffer, text_slices
 
-MOST_KEPT = 250_000       # words a worker remembers; then it starts anew
+MOST_KEPT = 500_000       # words a worker remembers; then it starts anew
+STOPS = np.zeros(256, bool)
+STOPS[list(b"!#$%&*,.:;?")] = True
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,9 +23,10 @@ def tokenizer_path(name: str) -> str:
 def _cuts(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Borders at which both tokenizers always split.
 
-    A border lies before ASCII white space that follows something else, before a comma or full stop
-    that follows an ASCII letter, and before such a letter that follows a single line feed. Characters that may be white space beyond ASCII are kept with
-    what follows, since the tokenizers take runs of white space as a whole.
+    A border lies before ASCII white space that follows something else, before one of STOPS that follows
+    an ASCII letter or one of U+00C0 to U+00FF, and before an ASCII letter that follows a single line
+    feed. Characters that may be white space beyond ASCII are kept with what follows, since the
+    tokenizers take runs of white space as a whole.
     """
     if not len(data):
         return np.zeros(0, np.int64)
@@ -36,8 +39,9 @@ def _cuts(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
     odd = wide | ((before[1] == 0xC2) & np.isin(before[0], (0x85, 0xA0))) | ((before[0] >= 0x1C) & (before[0] <= 0x1F))
     cut[at[odd]] = False
     letter = ((data | 0x20) >= 97) & ((data | 0x20) <= 122)
-    stop = (data == 0x2C) | (data == 0x2E)
-    cut[1:] |= (stop[1:] & letter[:-1]) | (letter[1:] & (data[:-1] == 0x0A) & cut[:-1])
+    ends = letter.copy()                    # last bytes of letters
+    ends[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut[1:] |= (STOPS[data[1:]] & ends[:-1]) | (letter[1:] & (data[:-1] == 0x0A) & cut[:-1])
     cut[borders[:-1][np.diff(borders) > 0]] = True
     return np.flatnonzero(cut)
 
@@ -66,6 +70,10 @@ class Encoder:
         self._forget()
 
     def _word_ids(self, piece: str) -> list[int] | None:
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isascii() and word.isalpha():
+            word = word.lower() if self.folds else word if word == piece else self.letters[0x20] + word
+            return [x.id for x in self.model.tokenize(word)]
         plain = LATIN_WORD.fullmatch(piece)
         if not plain:
             return None
@@ -73,22 +81,51 @@ class Encoder:
         return [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.words, self.hashes, self.row = pa.array([], pa.large_string()), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.begin = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and how many each has."""
         ids = [self._word_ids(x) for x in pieces]
         odd = [i for i, x in enumerate(ids) if x is None]
         for i, e in zip(odd, self.tokenizer.encode_batch_fast([pieces[i] for i in odd], add_special_tokens=False)):
             ids[i] = e.ids
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        used, more = int(self.begin[-1]), int(sizes.sum())
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, pieces: pa.Array, hashes: np.ndarray) -> None:
+        ids, sizes = self._ids(pieces.to_pylist())
+        used, more = int(self.begin[-1]), len(ids)
         if used + more > len(self.flat):
             self.flat = np.concatenate([self.flat[:used], np.zeros(max(used, more) + more, np.uint32)])
-        self.flat[used:used + more] = np.fromiter(chain.from_iterable(ids), np.uint32, more)
-        self.place.update(zip(pieces, range(len(self.begin) - 1, len(self.begin) - 1 + len(pieces))))
+        self.flat[used:used + more] = ids
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.row = np.insert(self.hashes, at, hashes[order]), np.insert(self.row, at, len(self.words) + order)
+        self.words = pa.concat_arrays([self.words, pieces])
         self.begin = np.concatenate([self.begin, used + np.cumsum(sizes)])
 
+    def _known(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, where those of each distinct piece begin in them, and how many it has.
+
+        Pieces are found by a hash and then compared, so two with one hash do no harm.
+        """
+        data, borders = text_buffer(pieces)
+        hashes = hash_runs(data, borders[:-1], borders[1:])
+        new = np.arange(len(hashes))
+        if len(self.hashes):
+            new = np.flatnonzero(self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] != hashes)
+        if len(self.words) + len(new) > MOST_KEPT:
+            self._forget()
+            new = np.arange(len(hashes))
+        if len(new):
+            self._learn(pieces.take(pa.array(new)), hashes[new])
+        row = self.row[np.searchsorted(self.hashes, hashes)]
+        if self.words.take(pa.array(row)).equals(pieces):
+            return self.flat, self.begin[row], self.begin[row + 1] - self.begin[row]
+        ids, sizes = self._ids(pieces.to_pylist())
+        return ids, np.cumsum(sizes) - sizes, sizes
+
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their n + 1 borders; null is an empty text."""
         done = [self._encode(column.slice(a, b - a)) for a, b in text_slices(column)]
@@ -104,17 +141,11 @@ class Encoder:
         ends = np.append(cuts, len(data)).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
         seen = pieces.dictionary_encode()
-        names = seen.dictionary.to_pylist()
-        new = [x for x in names if x not in self.place]
-        if len(self.place) + len(new) > MOST_KEPT:
-            self._forget()
-            new = names
-        if new:
-            self._learn(new)
-        at = np.fromiter((self.place[x] for x in names), np.int64, len(names))[seen.indices.to_numpy()]
-        begin, sizes = self.begin[at], self.begin[at + 1] - self.begin[at]
+        flat, begin, sizes = self._known(seen.dictionary)
+        at = seen.indices.to_numpy()
+        begin, sizes = begin[at], sizes[at]
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(begin - upto[:-1], sizes) + np.arange(upto[-1])]
+        ids = flat[np.repeat(begin - upto[:-1], sizes) + np.arange(upto[-1])]
         return ids, upto[np.searchsorted(cuts, borders)]
 
 
