@@ -3,7 +3,8 @@
 The CGK walk turns a word sequence into a string of three times its length: at step j it writes the
 current word and moves on if a random bit of (j, word) says so. Sequences a few edits apart give strings
 a small Hamming distance apart, so tables that sample a few places of the string bring them together.
-Windows of an item's length that meet an item in some table are compared to it by edit distance.
+Where a window of an item's length meets an item in some table, the item is compared by edit distance to
+every run of words around it, so a passage may be longer or shorter than its item.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ WALKS, TABLES, PLACES = 8, 8, 3
 GRAM = 3
 MARK_BITS = 20
 MAX_ITEMS, MAX_BYTES = 20_000, 32 << 20     # items of one block, and their bytes
+MAX_CELLS = 1 << 20                         # words of texts that are compared at once
 SEED = 0x51ED270B
 
 
@@ -71,6 +73,23 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return before[:, -1]
 
 
+def nearest_runs(items: np.ndarray, texts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edits, first word and words of the run of texts[i, :sizes[i]] nearest to items[i]; the first, then shortest at a tie."""
+    unit = 1 << 32                                         # a cell holds edits * unit + first word of the run
+    steps = np.arange(texts.shape[1] + 1)
+    before = np.tile(steps, (len(items), 1))
+    steps = steps * unit
+    for i in range(items.shape[1]):
+        now = np.empty_like(before)
+        now[:, 0] = (i + 1) * unit
+        np.minimum(before[:, 1:] + unit, before[:, :-1] + (items[:, i:i + 1] != texts) * unit, out=now[:, 1:])
+        before = np.minimum.accumulate(now - steps, axis=1) + steps
+    before[np.arange(texts.shape[1] + 1) > sizes[:, None]] = np.iinfo(np.int64).max
+    end = before.argmin(axis=1)
+    least = before[np.arange(len(items)), end]
+    return least // unit, least % unit, end - least % unit
+
+
 def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which values are in a sorted table."""
     out = np.zeros(len(values), bool)
@@ -108,10 +127,11 @@ class Index:
         return Index(groups, np.unique(chain(words.hashes, GRAM)[inside(words, GRAM)]))
 
     def found(self, column) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first word, words, edits): the nearest, then first, window of each text and item.
+        """(text, item, first word, words, edits): the nearest, then first, run of words of each text and item.
 
-        Each edit changes at most GRAM of a window's n - GRAM + 1 grams, and the others are grams of the
-        item. Windows and texts with fewer grams of any item are left out without loss.
+        Each edit changes at most GRAM of an item's n - GRAM + 1 grams, and also at most GRAM of the grams of a
+        run that is longer. So a window of n words that covers the run, or lies in it, keeps n - GRAM + 1 - GRAM
+        edits of them, and so does a whole text of fewer words. Others are left out without loss.
         """
         needs = {n: n - GRAM + 1 - GRAM * allowed_edits(n) for n in self.groups}
         least = max(1, min((x for x in needs.values() if x > 0), default=1))
@@ -130,32 +150,48 @@ class Index:
         for n in self.groups:
             if needs[n] > 0:
                 self._search(words, texts, n, needs[n], best)
-        return [(text, i, first, n, e) for (text, i), (e, first, n) in sorted(best.items())]
+        return [(text, i, first, size, e) for (text, i), (e, first, size) in sorted(best.items())]
 
     def _search(self, words: Words, texts: np.ndarray, n: int, need: int, best: dict) -> None:
-        owner = words.owner()
-        starts = np.flatnonzero(owner[:len(owner) - n + 1] == owner[n - 1:]) if len(owner) >= n else np.zeros(0, np.int64)
+        owner, k = words.owner(), allowed_edits(n)
         ids, seq, keys, item, grams = self.groups[n]
+        starts = np.flatnonzero(owner[:len(owner) - n + 1] == owner[n - 1:]) if len(owner) >= n else np.zeros(0, np.int64)
+        short = words.ptr[:-1][(words.counts < n) & (words.counts >= max(1, n - k))]      # these texts are one window
+        starts = np.sort(np.concatenate([starts, short]))
         if need > 0 and len(starts):
+            ends = np.minimum(starts + n, words.ptr[1:][owner[starts]])
             upto = np.concatenate([[0], np.cumsum(_within(chain(words.hashes, GRAM), grams))])
-            starts = starts[upto[starts + n - GRAM + 1] - upto[starts] >= need]
+            starts = starts[upto[ends - GRAM + 1] - upto[starts] >= need]
         for block in np.array_split(starts, -(-len(starts) // 4096)) if len(starts) else []:
-            own = words.hashes[block[:, None] + np.arange(n)]
-            mine = table_keys(own)
+            ends = words.ptr[1:][owner[block]]
+            mine = table_keys(_runs(words.hashes, block, ends, n))
             lo, hi = np.searchsorted(keys, mine, "left").reshape(-1), np.searchsorted(keys, mine, "right").reshape(-1)
             size = hi - lo
             if not size.any():
                 continue
             row = np.repeat(np.repeat(np.arange(len(block)), mine.shape[1]), size)
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            pairs = np.unique(np.stack([row, item[at]], axis=1), axis=0)
-            edits = edit_distances(own[pairs[:, 0]], seq[pairs[:, 1]])
-            ok = edits <= allowed_edits(n)
-            for (r, i), e in zip(pairs[ok].tolist(), edits[ok].tolist()):
-                text = owner[block[r]]
-                name, new = (int(texts[text]), int(ids[i])), (e, int(block[r] - words.ptr[text]), n)
-                if name not in best or new < best[name]:
-                    best[name] = new
+            # Windows whose starts are at most k words apart share one look at the words around them.
+            first = words.ptr[:-1][owner[block]]
+            cell = first + (block - first) // (k + 1) * (k + 1)
+            pairs = np.unique(np.stack([cell[row], item[at]], axis=1), axis=0)
+            width = n + 5 * k
+            for pair in np.array_split(pairs, -(-len(pairs) * width // MAX_CELLS)):
+                text = owner[pair[:, 0]]
+                begin = np.maximum(pair[:, 0] - 2 * k, words.ptr[:-1][text])
+                stop = np.minimum(pair[:, 0] + n + 3 * k, words.ptr[1:][text])
+                edits, run, size = nearest_runs(seq[pair[:, 1]], _runs(words.hashes, begin, stop, width), stop - begin)
+                for r in np.flatnonzero(edits <= k).tolist():
+                    name = int(texts[text[r]]), int(ids[pair[r, 1]])
+                    new = int(edits[r]), int(begin[r] + run[r] - words.ptr[text[r]]), int(size[r])
+                    if name not in best or new < best[name]:
+                        best[name] = new
+
+
+def _runs(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """(rows, n) hashes from each start; 0 from its end on."""
+    at = starts[:, None] + np.arange(n)
+    return np.where(at < ends[:, None], hashes[np.minimum(at, len(hashes) - 1)], U64(0))
 
 
 def blocks(benchmark: DataFrame, item: str, text: str):
@@ -190,8 +226,8 @@ def _hits(docs: DataFrame, index: Index, text: str) -> DataFrame:
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Struct row and hits (item, first word, words, edits) for each row of docs.
 
-    Words are runs of letters and digits, A-Z lower-cased. A hit is a window of as many words as the
-    item has, within 0.2 edits a word of it. Null and empty texts and items have none. Repeated items
+    Words are runs of letters and digits, A-Z lower-cased. A hit is a run of words, or a whole text, within
+    0.2 edits a word of the item: the nearest run, the first and then the shortest one at a tie. Null and empty texts and items have none. Repeated items
     count once, repeated rows each. Documents stream past the items in blocks of bounded size.
     """
     rows = None

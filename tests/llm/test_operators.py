@@ -214,6 +214,36 @@ def test_leaks(spark, odd):
     assert decontaminate.leaks(empty(odd), bench).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["drop", "add", "change", "whole"])
+def test_leaks_of_other_lengths(kind):
+    """Up to the whole 0.2 edits a word: words dropped, added or changed inside a text, or dropped from a text that is the item."""
+    rng = random.Random(4)
+    for n in (5, 10, 20, 40, 55):
+        items = [[f"v{rng.randint(0, 3000)}" for _ in range(n)] for _ in range(40)]
+        texts = []
+        for item in items:
+            words, at = list(item), sorted(rng.sample(range(1, n - 1), decontaminate.allowed_edits(n)), reverse=True)
+            for i in at:
+                words[i:i + (kind != "add")] = [] if kind in ("drop", "whole") else [f"new{i}"]
+            around = [] if kind == "whole" else [f"p{rng.randint(0, 900)}" for _ in range(40)]
+            texts.append(" ".join(around + words + around))
+        found = decontaminate.Index.of(list(range(40)), [" ".join(i) for i in items]).found(pa.array(texts))
+        hits = {(text, item): (edits, first, size) for text, item, first, size, edits in found}
+        size = n + {"drop": -1, "whole": -1, "add": 1, "change": 0}[kind] * decontaminate.allowed_edits(n)
+        assert sum((i, i) in hits for i in range(40)) >= 39
+        assert all(h == (decontaminate.allowed_edits(n), len(around), size) for (text, item), h in hits.items() if text == item)
+
+
+def test_nearest_runs():
+    rng = np.random.default_rng(3)
+    a, b, sizes = rng.integers(0, 4, (60, 5)), rng.integers(0, 4, (60, 9)), rng.integers(4, 10, 60)
+    for x, y, n, *got in zip(a, b, sizes, *decontaminate.nearest_runs(a, b, sizes)):
+        y = y[:n]
+        runs = [(int(decontaminate.edit_distances(x[None], y[None, i:j])[0]), i, j) for i in range(n + 1) for j in range(i, n + 1)]
+        edits, first, _ = min(runs)
+        assert got[0] == edits and (edits, got[1], got[1] + got[2]) in runs
+
+
 def test_edit_distance():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 3, (40, 9)), rng.integers(0, 3, (40, 9))
