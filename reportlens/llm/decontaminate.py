@@ -109,7 +109,7 @@ class Index:
     grams: np.ndarray
 
     @staticmethod
-    def of(ids: list[int], texts: list[str]) -> Index:
+    def of(ids: list[int | None], texts: list[str]) -> Index:
         import pyarrow as pa
         words = words_of(pa.array(texts, pa.string()), NOT_ALNUM, lower=True)
         by_size: dict[int, list[int]] = {}
@@ -123,10 +123,10 @@ class Index:
             item = np.repeat(np.arange(len(own)), WALKS * TABLES)
             order = np.argsort(keys, kind="stable")
             grams = np.unique(np.concatenate([chain(row, GRAM) for row in seq]))
-            groups[n] = np.array([ids[i] for i in own]), seq, keys[order], item[order], grams
+            groups[n] = np.array([ids[i] for i in own], object), seq, keys[order], item[order], grams
         return Index(groups, np.unique(chain(words.hashes, GRAM)[inside(words, GRAM)]))
 
-    def found(self, column) -> list[tuple[int, int, int, int, int]]:
+    def found(self, column) -> list[tuple[int, int | None, int, int, int]]:
         """(text, item, first word, words, edits): the nearest, then first, run of words of each text and item.
 
         Each edit changes at most GRAM of an item's n - GRAM + 1 grams, and also at most GRAM of the grams of a
@@ -150,7 +150,7 @@ class Index:
         for n in self.groups:
             if needs[n] > 0:
                 self._search(words, texts, n, needs[n], best)
-        return [(text, i, first, size, e) for (text, i), (e, first, size) in sorted(best.items())]
+        return [(text, i, first, size, e) for (text, i), (e, first, size) in sorted(best.items(), key=lambda b: (b[0][0], b[0][1] is not None, b[0][1] or 0))]
 
     def _search(self, words: Words, texts: np.ndarray, n: int, need: int, best: dict) -> None:
         owner, k = words.owner(), allowed_edits(n)
@@ -182,7 +182,7 @@ class Index:
                 stop = np.minimum(pair[:, 0] + n + 3 * k, words.ptr[1:][text])
                 edits, run, size = nearest_runs(seq[pair[:, 1]], _runs(words.hashes, begin, stop, width), stop - begin)
                 for r in np.flatnonzero(edits <= k).tolist():
-                    name = int(texts[text[r]]), int(ids[pair[r, 1]])
+                    name = int(texts[text[r]]), ids[pair[r, 1]]
                     new = int(edits[r]), int(begin[r] + run[r] - words.ptr[text[r]]), int(size[r])
                     if name not in best or new < best[name]:
                         best[name] = new
@@ -196,12 +196,12 @@ def _runs(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> n
 
 def blocks(benchmark: DataFrame, item: str, text: str):
     """Indexes over blocks of items, each of bounded size, so a benchmark of any size can be held against."""
-    rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text is not null")
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(1, -(-n // MAX_ITEMS), -(-size // MAX_BYTES))
     for k in range(parts):
         own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        got = sorted(own.distinct().collect())
+        got = sorted(own.distinct().collect(), key=lambda r: (r["item"] is not None, r["item"] or 0, r["text"]))
         yield Index.of([r["item"] for r in got], [r["text"] for r in got])
 
 
@@ -227,8 +227,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     """Struct row and hits (item, first word, words, edits) for each row of docs.
 
     Words are runs of letters and digits, A-Z lower-cased. A hit is a run of words, or a whole text, within
-    0.2 edits a word of the item: the nearest run, the first and then the shortest one at a tie. Null and empty texts and items have none. Repeated items
-    count once, repeated rows each. Documents stream past the items in blocks of bounded size.
+    0.2 edits a word of the item: the nearest run, the first and then the shortest one at a tie. Null and empty texts have none. Items with
+    equal ids count once, those with a null id as well; repeated rows count each. Documents stream past the items in blocks of bounded size.
     """
     rows = None
     for index in blocks(benchmark, item, item_text):

@@ -214,6 +214,16 @@ def test_leaks(spark, odd):
     assert decontaminate.leaks(empty(odd), bench).count() == 0
 
 
+def test_leaks_of_items_without_id(spark):
+    items = [" ".join(f"{c}{i}" for i in range(12)) for c in "abc"]
+    bench = spark.createDataFrame(list(zip([None, 7, None], items)), "item_id long, text string")
+    docs = spark.createDataFrame([(1, items[0]), (2, items[1]), (3, "nothing of the kind"), (4, "x " + items[0] + " y " + items[2] + " " + items[1])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.leaks(docs, bench).collect()}
+    assert [(got[i]["contaminated"], got[i]["n_items"], got[i]["item_id"], got[i]["edits"]) for i in range(1, 5)] == [
+        (True, 1, None, 0), (True, 1, 7, 0), (False, 0, None, None), (True, 2, None, 0)]
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()] == [3]
+
+
 @pytest.mark.parametrize("kind", ["drop", "add", "change", "whole"])
 def test_leaks_of_other_lengths(kind):
     """Up to the whole 0.2 edits a word: words dropped, added or changed inside a text, or dropped from a text that is the item."""
