@@ -330,6 +330,40 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == odd.count()
 
 
+def test_licenses_in_whole_texts(spark):
+    from reportlens.llm.license_texts import BODIES, HEADERS
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"p{rng.randint(0, 900)}" for _ in range(n))
+    texts = [(name, prose(30) + "\n" + body + "\n" + prose(30)) for name, body in (*HEADERS, *BODIES)]
+    texts += [(name, body.replace("\n", " ")) for name, body in BODIES[:5]]                       # one long line
+    texts += [(name, re.sub(r"(\S+\s+){4}", r"\g<0>\n# ", prose(40) + " " + body)) for name, body in HEADERS]     # wrapped, commented
+    texts += [("MIT", prose(40) + ". Released under the MIT License. " + prose(40)), ("MIT", prose(9) + " released under\nthe MIT\nLicense " + prose(9)),
+              (None, prose(200)), (None, prose(40) + " the license under the software is provided " + prose(40))]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i]["license"] for i in range(len(texts))] == [name for name, _ in texts]
+    assert all(got[i]["line"] <= 2 and got[i]["dice"] == 1.0 for i in range(len(HEADERS) + len(BODIES)))
+
+    # The best window of short templates, one by one.
+    templates = [("a", "x y z x y w"), ("b", "y z y z y"), ("c", "w x")]
+    texts = [" ".join(rng.choice("xyzwv") for _ in range(rng.randint(0, 20))) for _ in range(150)]
+
+    def brute(text):
+        words, best = text.split(), []
+        for name, body in templates:
+            b, size = set(licenses.bigrams(body.split())), len(body.split())
+            grams = list(zip(words, words[1:]))
+            own = min(len(b), len(grams))
+            for at in range(max(1, len(grams) - size + 2)):
+                share = 2 * len({" ".join(p) for p in grams[at:at + size - 1]} & b) / (len(b) + own)
+                if share >= 0.75:
+                    best.append((-share, name))
+        return round(-min(best)[0], 6) if best else None
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan(docs, notices={}, texts=templates).collect():
+        assert r["dice"] == brute(texts[r["doc_id"]]), texts[r["doc_id"]]
+
+
 def test_pages(spark):
     page = ("<html><head><title>T</title></head><body><header>Site</header><nav><a href=/x>x</a></nav><div class='cookie-notice'>We use cookies on this site.</div>"
             "<article><h1>Head</h1><p>Is &amp; was&nbsp;so\n long <b>bold<br><p>Of.</p><div class=ad>Buy this thing</div></article><section id=comments><p>Nice text, thank you all!</p></section>"
