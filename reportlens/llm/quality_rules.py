@@ -18,8 +18,10 @@ INDEX_BITS = 24
 MIN_WORDS, MAX_REPEAT = 50, 50          # base rule: words, and per cent of words in repeated windows
 MIN_DOCS = 100                          # a group of fewer documents takes the thresholds of its language
 REACH = 3                               # fences lie so many spreads beyond the quartiles
+LEAST_MARGIN = 100                      # per thousand; an upper fence lies this, or a quarter, above the group's 0.99 quantile
 
-# Measured per document as whole numbers: (per, least spread, lower fence as well).
+# Measured per document as whole numbers: (least spread, lower fence as well). A rule without a lower fence has the
+# lower of two upper ones: of the tail, and of the quartiles, which a group with much junk cannot shift.
 RULES = {
     "symbols": (150, False),            # symbols per thousand words
     "dup_lines": (150, False),          # repeated lines per thousand lines with a word
@@ -106,16 +108,19 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def _fences(sketch: DataFrame, group: list[str]) -> DataFrame:
-    """(group, docs, lo_<rule>, hi_<rule>) from the quartiles of the merged sketches."""
+    """(group, docs, lo_<rule>, hi_<rule>) from the quartiles and upper tails of the merged sketches."""
     merged = sketch.groupBy(*group, "rule", "value").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*group, "rule")
     upto = merged.withColumns({"upto": F.sum("n").over(w.orderBy("value")), "docs": F.sum("n").over(w)})
-    q = {p: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * p, F.col("value"))) for p in (1, 3)}
-    ends = upto.groupBy(*group, "rule").agg(F.max("docs").alias("docs"), q[1].alias("q1"), q[3].alias("q3"))
+    q = {p: F.min(F.when(F.col("upto") * 100 >= F.col("docs") * p, F.col("value"))) for p in (25, 75, 99)}
+    ends = upto.groupBy(*group, "rule").agg(F.max("docs").alias("docs"), q[25].alias("q1"), q[75].alias("q3"), q[99].alias("q99"))
     cols = [F.max("docs").alias("docs")]
     for r, (least, both) in RULES.items():
         spread = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        cols.append(F.max(F.when(F.col("rule") == r, F.col("q3") + spread)).alias(f"hi_{r}"))
+        high = F.col("q3") + spread
+        if not both:
+            high = F.least(high, F.col("q99") + F.greatest(F.lit(LEAST_MARGIN), F.floor(F.col("q99") / 4)))
+        cols.append(F.max(F.when(F.col("rule") == r, high)).alias(f"hi_{r}"))
         if both:
             cols.append(F.max(F.when(F.col("rule") == r, F.col("q1") - spread)).alias(f"lo_{r}"))
     return ends.groupBy(*group).agg(*cols)

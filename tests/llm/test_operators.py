@@ -295,6 +295,24 @@ def test_quality_rules(spark, odd):
     assert quality_rules.judge(empty(odd)).count() == 0
 
 
+def test_quality_fences_follow_tails(spark):
+    """Documents of 20 lines: none, or 5 of them, are repeats of another; one in 200 has 7 such lines."""
+    def text(k, repeated):
+        lines = [" ".join(f"w{k:04d}x{i:02d}x{j}" for j in range(8)) for i in range(20 - (repeated + 1 if repeated else 0))]
+        for i in range(repeated + 1 if repeated else 0):
+            lines.insert(2 * i, "once-again near-again")                       # between other lines, so no window of words repeats
+        return "\n".join(lines)
+
+    rows = [(1000 * g + k, text(1000 * g + k, 7 if k == 0 else 5 if g and k % 20 == 1 else 0), "en", f"s{g}") for g in (0, 1) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rows = quality_rules.grouped(quality_rules.measures(docs)).cache()
+    table = quality_rules.thresholds(rows)
+    fences = {r["source"]: r for r in table.collect()}
+    assert fences["s0"]["hi_dup_lines"] < 250 < fences["s1"]["hi_dup_lines"]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.kept(rows, table).select("row.doc_id", "kept").collect()}
+    assert not got[0] and all(kept for i, kept in got.items() if i)
+
+
 def test_resampling(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = resampling.resample(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
