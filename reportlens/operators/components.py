@@ -14,30 +14,29 @@ def _both_ways(links: DataFrame) -> DataFrame:
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Link every larger neighbour to the smallest member of its neighbourhood."""
+    """Link every larger neighbour to the smallest member of its neighbourhood; moved marks links that change."""
     both = _both_ways(links)
     low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"), (F.col("m") < F.col("a")).alias("moved"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    """Link the smaller neighbours, and the row itself, to the smallest of them."""
-    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+    """Link the smaller neighbours, and the row itself, to the smallest of them; moved is kept."""
+    low = links.groupBy("a").agg(F.min("b").alias("m"), F.max("moved").alias("any"))
+    up = links.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
+    return up.unionByName(low.select("a", F.col("m").alias("b"), F.col("any").alias("moved"))).groupBy("a", "b").agg(F.max("moved").alias("moved"))
 
 
 def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(id, root) for each row in a link, root the smallest id of its group.
 
     Hubs are contracted by pre-aggregated minima, and the joins on them are split by adaptive
-    execution. Every round is written to the shared folder.
+    execution. Every round is written to the shared folder; the last is the one in which no link moves.
     """
     links = cut_lineage(links.where("a <> b").select("a", "b").distinct())
     for _ in range(max_rounds):
-        before, links = links, cut_lineage(_small_star(_large_star(links)))
-        if links.exceptAll(before).isEmpty() and before.exceptAll(links).isEmpty():
+        links = cut_lineage(_small_star(_large_star(links)))
+        if links.where("moved").isEmpty():
             roots = links.select(F.col("a").alias("id"), F.col("b").alias("root"))
             tops = links.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
             return roots.unionByName(tops)
