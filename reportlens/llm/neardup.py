@@ -28,8 +28,8 @@ PERCENT = 75                    # least similarity
 MAX_BROADCAST_IDS = 1_000_000
 TILE_ROWS = 512                 # rows of one block of a large bucket
 SMALL_BUCKET = 16               # buckets up to this size share tasks
-ROWS_PER_BIN = 50_000
-PARTNERS = [1, 16, None]        # a node's likest partners in a tile that a round compares; the last round takes all
+ROWS_PER_BIN = 2_000
+PARTNERS = [1, None]            # a node's likest partners in a tile that a round compares; the last round takes all
 
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
 _FACTORS = mix(_SEEDS) | U64(1)
@@ -145,9 +145,12 @@ def _near(a, b, na, nb) -> tuple[np.ndarray, np.ndarray]:
     return likely & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)), equal / np.maximum(either, 1)
 
 
+_MASKS = np.array([sum(1 << c for c in x) for x in key_choices()], U64)
+
+
 def _met_before(a: np.ndarray, b: np.ndarray, choice: np.ndarray) -> np.ndarray:
     """Whether two signatures share the key of an earlier choice, so that their pair belongs to another bucket."""
-    masks = np.array([sum(1 << c for c in x) for x in key_choices()], U64)
+    masks = _MASKS
     equal = np.ascontiguousarray(np.packbits(a == b, axis=-1, bitorder="little")).view(np.uint32)[:, 0].astype(U64)
     out = np.zeros(len(equal), bool)
     for k in range(int(choice.max(initial=0))):
@@ -212,7 +215,7 @@ def _blocks(n: Column, rows: int) -> Column:
 
 
 def mixed_tiles(keys: DataFrame, classes: DataFrame, roots: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Rows (task, key, choice, i, j, side, node, n_shingles, sig, sketch) of the buckets that hold several components.
+    """Rows (task, key, choice, i, j, side, node) of the buckets that hold several components.
 
     Only buckets of three or more nodes are left to look at. Small buckets share tasks, large ones are
     cut into tiles of two blocks of tile_rows: the bucket's largest component against the others, and
@@ -235,17 +238,20 @@ def mixed_tiles(keys: DataFrame, classes: DataFrame, roots: DataFrame, tile_rows
     many = many.withColumn("other", F.explode(others))
     many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "key", "choice",
                        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
-    return written(few.union(many).join(classes.select("node", "n_shingles", "sig", "sketch"), "node"))
+    return written(few.union(many))
 
 
-def tile_pairs(tiles: DataFrame, roots: DataFrame, partners: int | None) -> DataFrame:
+def tile_pairs(tiles: DataFrame, classes: DataFrame, roots: DataFrame, partners: int | None) -> DataFrame:
     """Pairs (a, b) of a tile in different components whose sketches allow the similarity.
 
-    A pair is looked at in the first of the buckets that it shares only. Of the partners that a node has
-    in a large tile, only so many with the likest sketches, or all.
+    Only buckets and tiles with several components receive signatures and sketches. A pair is looked at
+    in the first of the buckets that it shares only. Of the partners that a node has in a large tile, only
+    so many with the likest sketches, or all.
     """
     node = tiles.schema["node"].dataType
     rows = tiles.join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = rows.groupBy("key", "i", "j").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "i", "j")
+    rows = rows.join(mixed, ["key", "i", "j"]).join(classes.select("node", "n_shingles", "sig", "sketch"), "node")
     schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
 
     def compare(table):
@@ -303,6 +309,16 @@ def _grouped(links: DataFrame) -> DataFrame:
     return written(components(links).select(F.col("id").alias("node"), F.col("root").alias("comp")))
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups of roots after new links; only the links between groups are contracted."""
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = _grouped(between).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    old = roots.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    new = top.join(roots.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("top").alias("comp"))
+    return written(old.unionByName(new))
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row of docs.
 
@@ -330,21 +346,20 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", tile_r
     stars = written(stars.join(near, ["a", "b"], "left_semi"))
     first = written(stars.groupBy("a").agg(F.max(F.struct("w", "b")).alias("top")).select("a", "top.b"))
     stars, keys = stars.select("a", "b"), shared.select("key", "choice", "node")
-    links = written(confirmed(first, docs, key, text))
-    roots = _grouped(links)
+    roots = _grouped(written(confirmed(first, docs, key, text)))
     low = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried, tiles = low(first), None
     for partners in PARTNERS:
         if tiles is None:
             tiles = mixed_tiles(keys, classes, roots, tile_rows)
-            more = _apart(stars, roots).union(tile_pairs(tiles, roots, partners))
+            more = _apart(stars, roots).union(tile_pairs(tiles, classes, roots, partners))
         else:
-            more = tile_pairs(tiles, roots, partners)
+            more = tile_pairs(tiles, classes, roots, partners)
         more = written(low(more).join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            tried = tried.union(more)
-            links = links.union(written(confirmed(more, docs, key, text)))
-            roots = _grouped(links)
+        tried = tried.union(more)
+        found = written(confirmed(more, docs, key, text))
+        if not found.isEmpty():
+            roots = _joined(roots, found)
     lowest = roots.groupBy("comp").agg(F.min("node.id").alias("low"))
     of = classes.join(roots.join(lowest, "comp").select("node", "low"), "node", "left")
     of = of.select("f1", "f2", "n_shingles", F.coalesce("low", "node.id").alias("component_id"))
