@@ -26,7 +26,7 @@ SYMBOLS, MAX_DIFFERENT, CHUNKS = 32, 17, 9
 BINS, DEVIATIONS = 512, 3.7     # of the sketch; standard deviations below the similarity that it may fall
 PERCENT = 75                    # least similarity
 MAX_BROADCAST_IDS = 1_000_000
-TILE_ROWS = 512                 # rows of one block of a large bucket
+TILE_ROWS = 2048                # rows of one block of a large bucket
 SMALL_BUCKET = 16               # buckets up to this size share tasks
 ROWS_PER_BIN = 2_000
 PARTNERS = [1, None]            # a node's likest partners in a tile that a round compares; the last round takes all
