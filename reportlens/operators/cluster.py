@@ -8,18 +8,16 @@ from functools import reduce as fold
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import cached, cut_lineage
-from . import metrics, pairs, reduce, tables
+from . import linkage, metrics, pairs, reduce, tables
 from .components import components
-from .ranking import global_rank
-
-MICRO_CLUSTERS = 512      # centroids a linkage works on, whatever the number of rows
+from .ranking import global_rank, hash_unit
 
 
 @dataclass
@@ -79,51 +77,10 @@ def bisecting(df: DataFrame, id_col: str, vec: str, k: int, seed: int = 42) -> F
                  {"n_clusters": str(k), "method": "bisecting"}, {}, model)
 
 
-def _merge(points: np.ndarray, weight: np.ndarray, k: int, method: str) -> np.ndarray:
-    """Agglomerate a bounded set of weighted centroids down to k groups (Lance-Williams updates)."""
-    m = len(points)
-    if method == "ward":
-        sq = ((points[:, None, :] - points[None, :, :]) ** 2).sum(-1)
-        d = sq * weight[:, None] * weight[None, :] / (weight[:, None] + weight[None, :])
-    else:
-        d = pairs.distances(points, points, "cosine")
-    np.fill_diagonal(d, np.inf)
-    size, group, live = weight.astype(float).copy(), np.arange(m), np.ones(m, dtype=bool)
-    for _ in range(m - k):
-        a, b = sorted(divmod(int(np.argmin(d)), m))
-        rest = live.copy()
-        rest[[a, b]] = False
-        if method == "ward":
-            t = size[a] + size[b] + size[rest]
-            new = ((size[a] + size[rest]) * d[a, rest] + (size[b] + size[rest]) * d[b, rest] - size[rest] * d[a, b]) / t
-        elif method == "complete":
-            new = np.maximum(d[a, rest], d[b, rest])
-        else:
-            new = (size[a] * d[a, rest] + size[b] * d[b, rest]) / (size[a] + size[b])
-        d[a, rest] = d[rest, a] = new
-        d[b, :] = d[:, b] = np.inf
-        size[a] += size[b]
-        live[b] = False
-        group[group == b] = a
-    return np.unique(group, return_inverse=True)[1]
-
-
-def hierarchical(df: DataFrame, id_col: str, vec: str, k: int, method: str = "ward", seed: int = 42,
-                 micro: int = MICRO_CLUSTERS) -> Found:
-    """Two levels: k-means to at most `micro` weighted centroids, then their linkage, then a label map."""
-    rows = cached(_ml(df, id_col, vec))
-    m = min(micro, max(k, rows.count() // 2))
-    model = KMeans(k=m, seed=seed, maxIter=20).fit(rows)
-    rows.unpersist()
-    small = _labels(model.transform(_ml(df, id_col, vec)))
-    weight = {r.label: r.n for r in small.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    used = sorted(weight)
-    centres = np.array(model.clusterCenters())[used]
-    group = _merge(centres, np.array([weight[i] for i in used], dtype=float), min(k, len(used)), method)
-    of = dict(zip(used, group))
-    to = F.array(*[F.lit(int(of.get(i, -1))) for i in range(m)])
-    return Found(small.select("id", F.element_at(to, F.col("label") + 1).alias("label")), "Hierarchical",
-                 {"n_clusters": str(k), "method": method})
+def hierarchical(df: DataFrame, id_col: str, vec: str, k: int, method: str = "ward", tree: linkage.Hierarchy | None = None) -> Found:
+    """k clusters of the exact linkage of all rows; a given hierarchy is cut without being built again."""
+    tree = tree or linkage.Hierarchy(df, id_col, vec, method)
+    return Found(tree.cut(k), "Hierarchical", {"n_clusters": str(k), "method": method})
 
 
 def knn_affinity(df: DataFrame, id_col: str, vec: str, k: int = 10, metric: str = "euclidean",
@@ -134,13 +91,61 @@ def knn_affinity(df: DataFrame, id_col: str, vec: str, k: int = 10, metric: str
         .groupBy("src", "dst").agg((F.count(F.lit(1)) / 2).alias("weight"))
 
 
-def spectral(df: DataFrame, id_col: str, vec: str, k: int, neighbours: int = 10, max_iter: int = 30,
-             links: DataFrame | None = None) -> Found:
-    """Power iteration on the neighbour graph (Lin and Cohen 2010); integer ids."""
-    graph = knn_affinity(df, id_col, vec, neighbours, links=links)
-    tool = PowerIterationClustering(k=k, maxIter=max_iter, initMode="degree", weightCol="weight")
-    got = tool.assignClusters(graph.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"), "weight"))
-    return Found(got.select("id", F.col("cluster").cast("int").alias("label")), "Spectral", {"n_clusters": str(k)})
+def _normalized_affinity(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, other, s) with s = weight / sqrt of both degrees, in both directions, and (id, degree)."""
+    ends = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other"), "weight"), F.struct(F.col("dst").alias("id"), F.col("src").alias("other"), "weight"))
+    both = cut_lineage(graph.select(F.explode(ends).alias("e")).select("e.*"))
+    degree = cut_lineage(both.groupBy("id").agg(F.sum("weight").alias("degree")))
+    far = degree.select(F.col("id").alias("other"), F.col("degree").alias("_far"))
+    return cut_lineage(both.join(degree, "id").join(far, "other").select("id", "other", (F.col("weight") / F.sqrt(F.col("degree") * F.col("_far"))).alias("s"))), degree
+
+
+def _gram(rows: DataFrame, left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    sums = rows.agg(*[F.sum(F.col(a) * F.col(b)) for a in left for b in right]).first()
+    return np.array(sums, float).reshape(len(left), len(right))
+
+
+def _combined(rows: DataFrame, keep: Sequence[str], cols: Sequence[str], weights: np.ndarray) -> DataFrame:
+    """keep and the columns x0, x1, ... that are sums of cols with the columns of weights."""
+    mix = [fold(lambda a, b: a + b, [F.col(c) * float(w) for c, w in zip(cols, weights[:, j])]).alias(f"x{j}") for j in range(weights.shape[1])]
+    return rows.select(*keep, *mix)
+
+
+def leading_vectors(affinity: DataFrame, nodes: DataFrame, k: int, extra: int = 4, max_iter: int = 40, tol: float = 1e-4, seed: int = 42) -> DataFrame:
+    """(id, x0 .. x(k-1)): eigenvectors of the largest eigenvalues of a symmetric sparse matrix (id, other, s).
+
+    Block subspace iteration on (matrix + I) / 2, whose eigenvalues lie in 0 to 1 for an affinity of unit
+    row sums. A step is one join with the vectors and one sum per row; the driver sees matrices as wide as
+    the block. It ends when the block's growth factors move by less than tol.
+    """
+    b = min(k + extra, nodes.count())
+    x, y = [f"x{j}" for j in range(b)], [f"y{j}" for j in range(b)]
+    rows = cut_lineage(nodes.select("id", *[(hash_unit(seed + j, "id") - 0.5).alias(x[j]) for j in range(b)]))
+    before = np.zeros(b)
+    for step in range(max_iter):
+        gram = _gram(rows, x, x)
+        lower = np.linalg.cholesky(gram + np.eye(b) * 1e-12 * np.trace(gram))
+        rows = _combined(rows, ["id"], x, np.linalg.inv(lower).T)
+        far = rows.select(F.col("id").alias("other"), *x)
+        sums = affinity.join(far, "other").groupBy("id").agg(*[F.sum(F.col("s") * F.col(c)).alias(d) for c, d in zip(x, y)])
+        new = [((F.col(c) + F.coalesce(F.col(d), F.lit(0.0))) / 2).alias(d) for c, d in zip(x, y)]
+        rows = cut_lineage(rows.join(sums, "id", "left").select("id", *x, *new))
+        growth = np.diag(lower)
+        if np.abs(growth - before).max() < tol or step == max_iter - 1:
+            break
+        before, rows = growth, rows.select("id", *[F.col(d).alias(c) for c, d in zip(x, y)])
+    small = _gram(rows, x, y)
+    return _combined(rows, ["id"], x, np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :k])
+
+
+def spectral(df: DataFrame, id_col: str, vec: str, k: int, neighbours: int = 10, max_iter: int = 40,
+             links: DataFrame | None = None, n_init: int = 10, seed: int = 42) -> Found:
+    """k-means on the leading eigenvectors of the normalised neighbour graph; ids of any type."""
+    affinity, degree = _normalized_affinity(knn_affinity(df, id_col, vec, neighbours, links=links))
+    vectors = leading_vectors(affinity, degree.select("id"), k, max_iter=max_iter, seed=seed).join(degree, "id")
+    rows = cut_lineage(vectors.select("id", F.array(*[F.col(f"x{j}") / F.sqrt("degree") for j in range(k)]).alias("_embedded")))
+    found = kmeans(rows, "id", "_embedded", k, n_init, seed=seed)
+    return Found(linkage.numbered(found.labels, "label"), "Spectral", {"n_clusters": str(k)})
 
 
 def neighbour_distance(df: DataFrame, id_col: str, vec: str, min_samples: int, metric: str = "cosine") -> DataFrame:
@@ -179,77 +184,13 @@ def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int =
     return Found(out, "DBSCAN", {"eps": repr(eps), "min_samples": str(min_samples)})
 
 
-def _lasting(groups: DataFrame, cuts: Sequence[float]) -> DataFrame:
-    """(level, root, chosen) of the groups that hold more mass than the groups they split into.
-
-    Level 0 is the finest. A group's mass is its size times the density range of a level, added up along
-    the levels at which it does not split. What never splits off from the whole is not a cluster.
-    """
-    top = len(cuts) - 1
-    width = [1 / c - (1 / cuts[i + 1] if i < top else 0) for i, c in enumerate(cuts)]
-    nodes = groups.groupBy("level", "root").agg(F.max("size").alias("size"))
-    up = groups.select(F.col("id").alias("root"), (F.col("level") - 1).alias("level"), F.col("root").alias("parent"))
-    nodes = cut_lineage(nodes.join(up, ["level", "root"], "left"))
-    below, scored = None, []
-    for i in range(top + 1):
-        here = nodes.where(F.col("level") == i).withColumn("mass", F.col("size") * width[i])
-        if below is None:
-            here = here.withColumns({"own": F.col("mass"), "split": F.lit(0.0), "kids": F.lit(0)})
-        else:
-            kids = below.groupBy(F.col("parent").alias("root")).agg(
-                F.count(F.lit(1)).alias("kids"), F.max("own").alias("k_own"), F.max("split").alias("k_split"),
-                F.sum(F.greatest("own", "split")).alias("k_best"))
-            one = F.col("kids") == 1
-            here = here.join(kids, "root", "left").withColumn("kids", F.coalesce("kids", F.lit(0))).withColumns({
-                "own": F.col("mass") + F.when(one, F.col("k_own")).otherwise(0.0),
-                "split": F.when(one, F.col("k_split")).when(F.col("kids") > 1, F.col("k_best")).otherwise(0.0)})
-        below = cut_lineage(here.select("level", "root", "parent", "kids", "own", "split"))
-        scored.append(below)
-    whole = None
-    if scored[top].count() == 1:
-        whole = scored[top].select("root", "kids")
-        marked = [scored[top].withColumn("chosen", F.lit(False))]
-    else:
-        marked = [scored[top].withColumn("chosen", F.col("own") >= F.col("split"))]
-    for i in range(top - 1, -1, -1):
-        level = scored[i].withColumn("chosen", F.col("own") >= F.col("split"))
-        if whole is not None:
-            alone = whole.where("kids = 1").select(F.col("root").alias("parent"), F.lit(True).alias("alone"))
-            level = level.join(alone, "parent", "left").withColumn("chosen", F.col("chosen") & F.col("alone").isNull())
-            whole = level.where("alone").select("root", "kids")
-            level = level.drop("alone")
-        marked.append(level)
-    return fold(DataFrame.unionByName, marked).select("level", "root", "chosen")
-
-
-def density_levels(df: DataFrame, id_col: str, vec: str, min_cluster_size: int = 5, min_samples: int = 5,
-                   levels: int = 8, metric: str = "euclidean") -> Found:
-    """Density clusters that last over a grid of levels.
-
-    Rows link by mutual reachability; at each level groups of at least min_cluster_size count. A row
-    takes the coarsest group on its path that holds more mass than what it splits into.
-    """
+def density_tree(df: DataFrame, id_col: str, vec: str, min_cluster_size: int = 5, min_samples: int = 5, metric: str = "euclidean") -> Found:
+    """Density clusters of the condensed tree under mutual reachability, chosen by excess of mass."""
     core = neighbour_distance(df, id_col, vec, min_samples, metric).select(
         F.col("id").alias(id_col), F.col("dist").alias("_core"))
     marked = cut_lineage(df.select(id_col, vec).join(core, id_col))
-    links = cut_lineage(pairs.reach_links(marked, id_col, vec, "_core", metric))
-    found = tables.quantiles(marked, "_core", {f"q{i}": (i + 1) / levels for i in range(levels)}).first()
-    cuts = sorted({max(float(c), 1e-12) for c in found})
-    cuts += [cuts[-1] * 1.5]
-    groups = []
-    for i, c in enumerate(cuts):
-        root = components(links.where(F.col("w") <= c).select("a", "b"))
-        sized = root.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_cluster_size)
-        groups.append(root.join(sized, "root").select("id", "root", "size", F.lit(i).alias("level")))
-    groups = cut_lineage(fold(DataFrame.unionByName, groups))
-    chosen = _lasting(groups, cuts).where("chosen").select("level", "root")
-    named = groups.join(chosen, ["level", "root"]).groupBy("id").agg(F.max(F.struct("level", "root")).alias("m"))
-    named = cut_lineage(named.select("id", "m.level", "m.root"))
-    order = global_rank(named.groupBy("level", "root").agg(F.min("id").alias("first")), ["first"], "label")
-    labelled = named.join(order, ["level", "root"]).select("id", (F.col("label") - 1).cast("int").alias("label"))
-    out = marked.select(F.col(id_col).alias("id")).join(labelled, "id", "left") \
-        .select("id", F.coalesce("label", F.lit(-1)).alias("label"))
-    return Found(out, "HDBSCAN", {"min_cluster_size": str(min_cluster_size), "min_samples": str(min_samples)})
+    labels = linkage.density_labels(marked, id_col, vec, "_core", min_cluster_size, metric)
+    return Found(labels, "HDBSCAN", {"min_cluster_size": str(min_cluster_size), "min_samples": str(min_samples)})
 
 
 # --- choosing k ---------------------------------------------------------------
@@ -294,8 +235,8 @@ METHODS: dict[str, Callable[..., Found]] = {
     "gmm": lambda df, i, v, k, **kw: gaussian_mixture(df, i, v, k, **kw),
     "hierarchical": lambda df, i, v, k, **kw: hierarchical(df, i, v, k, **kw),
     "spectral": lambda df, i, v, k, **kw: spectral(df, i, v, k, **kw),
-    "dbscan": lambda df, i, v, k, eps=0.5, **kw: dbscan(df, i, v, eps, **kw),
-    "hdbscan": lambda df, i, v, k, **kw: density_levels(df, i, v, **kw),
+    "dbscan": lambda df, i, v, k=0, eps=0.5, **kw: dbscan(df, i, v, eps, **kw),
+    "hdbscan": lambda df, i, v, k, **kw: density_tree(df, i, v, **kw),
 }
 
 
@@ -331,7 +272,7 @@ def sweep(df: DataFrame, id_col: str, vec: str, configs: Sequence[tuple[str, Map
     rows, tables_ = [], []
     df = df.persist()
     for i, (method, params) in enumerate(configs, 1):
-        key = method + "_" + "_".join(f"{k}={v}" for k, v in params.items())
+        key = method + "_" + "_".join(f"{k}={v}" for k, v in params.items() if isinstance(v, (int, float, str)))
         try:
             found = cluster(df, id_col, vec, method, **params)
             found.labels = cut_lineage(found.labels)
@@ -349,6 +290,41 @@ def sweep(df: DataFrame, id_col: str, vec: str, configs: Sequence[tuple[str, Map
     return runs, fold(DataFrame.unionByName, tables_)
 
 
+# The settings of the default sweep, fixed values.
+SWEEP_EPS, SWEEP_MIN_SAMPLES = (0.3, 0.4, 0.5, 0.6, 0.7), (3, 5, 7)
+SWEEP_MIN_CLUSTER_SIZE, SWEEP_DENSITY_SAMPLES = (5, 10, 15, 20), (5, 10)
+
+
+def default_configs(df: DataFrame, id_col: str, vec: str, methods: Sequence[str] = ("dbscan", "hdbscan", "kmeans", "spectral", "hierarchical"),
+                    n_init: int = 10, max_k: int = 20, seed: int = 42) -> list[tuple[str, dict]]:
+    """(method, parameters) of the default sweep: fixed grids and the estimates taken from the rows.
+
+    Radii get the estimate of each number of neighbours. Numbers of clusters run from 2 to a tenth of the
+    rows, at most max_k, and get the best of 2 to max_k by silhouette. Runs share one neighbour graph and
+    one hierarchy per linkage.
+    """
+    n, out = df.count(), []
+    if "dbscan" in methods:
+        for m in SWEEP_MIN_SAMPLES:
+            found = estimate_eps(df, id_col, vec, m).first().eps
+            out += [("dbscan", {"eps": e, "min_samples": m}) for e in sorted({*SWEEP_EPS, float(found)})]
+    if "hdbscan" in methods:
+        out += [("hdbscan", {"min_cluster_size": c, "min_samples": m}) for c in SWEEP_MIN_CLUSTER_SIZE for m in SWEEP_DENSITY_SAMPLES]
+    if not {"kmeans", "spectral", "hierarchical"} & set(methods):
+        return out
+    best = best_k(inertia_table(df, id_col, vec, range(2, min(max_k, n - 1) + 1), seed=seed)).first().k
+    ks = sorted({*range(2, max(2, min(max_k, n // 10)) + 1), *([best] if best else [])})
+    if "kmeans" in methods:
+        out += [("kmeans", {"k": k, "n_init": n_init, "seed": seed}) for k in ks]
+    if "spectral" in methods:
+        links = cut_lineage(pairs.nearest(df, id_col, vec, 10, "euclidean"))
+        out += [("spectral", {"k": k, "seed": seed, "links": links}) for k in ks]
+    if "hierarchical" in methods:
+        trees = {m: linkage.Hierarchy(df, id_col, vec, m) for m in linkage.METHODS}
+        out += [("hierarchical", {"k": k, "method": m, "tree": t}) for k in ks for m, t in trees.items()]
+    return out
+
+
 def compare_methods(df: DataFrame, id_col: str, vec: str, methods: Sequence[str], k: int) -> DataFrame:
     """(method, silhouette, n_clusters_found): Euclidean silhouette per method, null where it failed."""
     out = []

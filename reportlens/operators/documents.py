@@ -7,8 +7,12 @@ cleaning, texts and edits of a document never need a shuffle. Explode it for the
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce as fold
+from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions import fixed, text
 
 ENTRY = "array<struct<key:string,value:string,type:string>>"
-STREAM_LEVELS = 12          # levels of nested objects that a stream opens
+BASE_LEVELS = 6             # levels of nested objects that the plan opens; rows nested deeper are walked on
 
 
 def _kind(variant: Column) -> Column:
@@ -101,55 +105,91 @@ def _last_wins(entries: Column) -> Column:
     return F.when(F.size(keys) == F.size(entries), entries).otherwise(merged)
 
 
-def depth(doc: Column) -> Column:
-    """How deep objects and lists are nested in JSON text; 0 for null."""
-    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(doc, r"(?s)\\.", ""), '"[^"]*+"', ""), r"[^{}\[\]]+", "")
-
-    def step(s, c):
-        now = s["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
-
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    return F.coalesce(F.aggregate(F.split(marks, ""), start, step, lambda s: s["most"]), F.lit(0))
+def _still_closed(entries: Column, flat: bool) -> Column:
+    """Whether an object with members, or in flat form a list of objects, is still closed."""
+    open_list = (lambda e: (e.type == "ARRAY") & _first_is_object(e.value)) if flat else (lambda e: F.lit(False))
+    return F.exists(entries, lambda e: ((e.type == "OBJECT") & (e.value != "{}")) | open_list(e))
+
+
+def _number(x: float) -> str:
+    """A number as Spark prints it."""
+    if x == 0 or 1e-3 <= abs(x) < 1e7:
+        return repr(x)
+    digits, _, power = f"{x:.16e}".partition("e")
+    digits, _, power = next((t for t in (f"{x:.{n}e}" for n in range(1, 18)) if float(t) == x), f"{digits}e{power}").partition("e")
+    return f"{digits.rstrip('0') if not digits.rstrip('0').endswith('.') else digits.rstrip('0') + '0'}E{int(power)}"
+
+
+def _member(key: str, value: object) -> tuple[str, str | None, str]:
+    """(key, text, type) of a parsed value; objects and lists keep their JSON text."""
+    if value is None:
+        return key, None, "VOID"
+    if isinstance(value, (dict, list)):
+        return key, json.dumps(value, ensure_ascii=False, separators=(",", ":")), "OBJECT" if isinstance(value, dict) else "ARRAY"
+    if isinstance(value, bool):
+        return key, "true" if value else "false", "BOOLEAN"
+    if isinstance(value, str):
+        return key, value, "STRING"
+    return (key, str(value), "BIGINT") if isinstance(value, int) else (key, _number(value), "DOUBLE")
+
+
+def walk(entries: list[tuple[str, str | None, str]], flat: bool) -> list[tuple[str, str | None, str]]:
+    """Opens all that is still closed in a row, however deep, by the rules of _open or _open_nodes."""
+    out, todo = [], [(k, json.loads(v) if t in ("OBJECT", "ARRAY") else None, (k, v, t)) for k, v, t in reversed(entries)]
+    while todo:
+        key, value, entry = todo.pop()
+        if isinstance(value, dict) and (value or not flat):
+            if not flat:
+                out.append((entry[0], entry[1], "OPENED"))
+            inner = [(f"{key}_{k.lower()}" if flat else f"{key}.{k}", v) for k, v in value.items()]
+        elif flat and isinstance(value, list) and value and isinstance(value[0], dict):
+            inner = [(f"{key}_{i}", v) for i, v in enumerate(value) if isinstance(v, dict)]
+        else:
+            out.append((entry[0], entry[1], "LIST") if flat and isinstance(value, list) else entry)
+            continue
+        todo += [(k, v, _member(k, v)) for k, v in reversed(inner)]
+    return out
 
 
-def _levels(df: DataFrame, doc: str, levels: int | None) -> int:
-    """The levels to open: those given, else as many as the deepest document has.
+def _opened(df: DataFrame, out: str, levels: int | None, flat: bool) -> DataFrame:
+    """Opens the entries of out: some levels in the plan, which does not grow with the data, deeper rows by walk().
 
-    A stream cannot be looked at first, so it opens STREAM_LEVELS.
+    With given levels, deeper documents end the query.
     """
-    if levels is None:
-        levels = STREAM_LEVELS if df.isStreaming else df.agg(F.max(depth(F.col(doc)))).first()[0] or 1
-    return max(1, levels)
+    for _ in range((levels or BASE_LEVELS) - 1):
+        df = df.withColumn(out, _open(F.col(out), "_", True) if flat else _open_nodes(F.col(out)))
+    if levels:
+        closed = F.exists(F.col(out), lambda e: (e.type == "OBJECT") & (F.size(children(e.value)) > 0))
+        error = F.raise_error(F.lit(f"a document is nested deeper than {levels} levels")).cast(ENTRY)
+        return df.withColumn(out, F.when(closed, error).otherwise(F.col(out)))
 
+    def deep(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else [dict(zip(("key", "value", "type"), e)) for e in walk([(e["key"], e["value"], e["type"]) for e in r], flat)])
 
-def _all_opened(entries: Column, levels: int) -> Column:
-    """The entries; an error if an object with members is still closed."""
-    closed = F.exists(entries, lambda e: (e.type == "OBJECT") & (F.size(children(e.value)) > 0))
-    return F.when(closed, F.raise_error(F.lit(f"a document is nested deeper than {levels} levels")).cast(ENTRY)).otherwise(entries)
+    tool = F.pandas_udf(deep, ENTRY)
+    df = df.withColumn("_deep", tool(F.when(_still_closed(F.col(out), flat), F.col(out))))
+    return df.withColumn(out, F.coalesce("_deep", out)).drop("_deep")
 
 
 def nodes(df: DataFrame, doc: str, out: str, levels: int | None = None) -> DataFrame:
     """All members by dotted path, depth first, objects (type OPENED) before their members."""
-    levels = _levels(df, doc, levels)
-    df = df.withColumn(out, children(F.col(doc), None, ".", False))
-    for _ in range(levels - 1):
-        df = df.withColumn(out, _open_nodes(F.col(out)))
-    return df.withColumn(out, _all_opened(F.col(out), levels))
+    return _opened(df.withColumn(out, children(F.col(doc), None, ".", False)), out, levels, False)
+
+
+def _finished(df: DataFrame, out: str, levels: int | None) -> DataFrame:
+    """The entries of out opened, without empty objects, and printed."""
+    df = _opened(df, out, levels, True)
+    df = df.withColumn(out, F.filter(F.col(out), lambda e: e.type != "OBJECT"))
+    return df.withColumn(out, _last_wins(F.transform(F.col(out), _printed)))
 
 
 def flatten(df: DataFrame, doc: str, out: str = "features", levels: int | None = None) -> DataFrame:
     """One array column of (key, value, type): keys joined by _ and values in lower case.
 
     Empty objects vanish, lists become comma-joined text, a later duplicate key wins. Documents may be
-    nested as deep as they like; beyond given levels, or STREAM_LEVELS on a stream, they end the query.
+    nested as deep as they like, in tables and in streams; beyond given levels they end the query.
     """
-    levels = _levels(df, doc, levels)
-    df = df.withColumn(out, children(F.col(doc)))
-    for _ in range(levels - 1):
-        df = df.withColumn(out, _open(F.col(out), "_", True))
-    df = df.withColumn(out, F.filter(_all_opened(F.col(out), levels), lambda e: e.type != "OBJECT"))
-    return df.withColumn(out, _last_wins(F.transform(F.col(out), _printed)))
+    return _finished(df.withColumn(out, children(F.col(doc))), out, levels)
 
 
 def explode_features(df: DataFrame, *ids: str, features: str = "features") -> DataFrame:
@@ -218,28 +258,48 @@ def template_schema(template: Mapping) -> T.StructType:
     ])
 
 
+def _fits(kind: Column, value: object) -> Column:
+    """Whether a variant's schema is that of a template value, with any field null or absent."""
+    def form(v):
+        if isinstance(v, Mapping):
+            fields = "|".join(f"{re.escape(k)}: {form(x)}" for k, x in v.items())
+            return f"(?:OBJECT<(?:(?:{fields})(?:, (?!>)|(?=>)))*>|VOID)"
+        name = {"ARRAY": "ARRAY<(?:STRING|VOID)>"}.get(_default(v)[1], _default(v)[1])
+        return f"(?:{name}|VOID)"
+
+    return F.coalesce(kind.rlike(f"^{form(value)}$"), F.lit(True))
+
+
 def flatten_template(df: DataFrame, doc: str, template: Mapping, out: str = "features", levels: int | None = None) -> DataFrame:
-    """flatten() for documents that mostly follow a template: one parse, and fields in template order.
+    """flatten() for documents that mostly follow a template: typed fields in template order, then unknown members.
 
-    A document that the template's schema does not hold in full, since a value has another type or a key
-    is unknown, is flattened as it is, in its own order. Absent and null fields give no entry.
+    Only unknown members of the document itself are walked. A document is flattened as a whole, in its own
+    order, if a value has another type than the template's, if an object of the template has an unknown
+    member, or if an unknown name begins like one of the template. Absent and null fields give no entry.
     """
-    parsed = df.withColumn("_doc", F.from_json(doc, template_schema(template)))
-    whole = F.to_json(F.try_parse_json(F.to_json("_doc"))) == F.to_json(F.try_parse_json(doc))
-    parsed = parsed.withColumn("_other", F.when(~F.coalesce(whole, F.lit(False)), F.col(doc)))
+    names = F.array(*[F.lit(k) for k in template])
+    df = df.withColumns({"_doc": F.from_json(doc, template_schema(template)), "_kinds": F.from_json(doc, "map<string,variant>")})
+    new = F.filter(F.map_keys("_kinds"), lambda k: ~F.array_contains(names, k))
+    df = df.withColumn("_new", new)
+    like = F.exists("_new", lambda k: fold(or_, [F.lower(k).startswith(t.lower()) for t in template]))
+    fits = fold(and_, [_fits(F.schema_of_variant(F.col("_kinds")[k]), v) for k, v in template.items()])
+    df = df.withColumn("_odd", ~F.coalesce(fits & ~like & F.col("_doc").isNotNull(), F.lit(False)))
+    unknown = F.filter(children(F.col(doc), lower=False), lambda e: F.array_contains("_new", e.key))
+    unknown = F.transform(unknown, lambda e: F.struct(F.lower(e.key).alias("key"), e.value.alias("value"), e.type.alias("type")))
+    df = df.withColumn("_entries", F.when(F.col("_odd"), children(F.col(doc))).when(F.size("_new") > 0, unknown).otherwise(F.array().cast(ENTRY)))
 
     def entry(path, default):
         col = F.col("_doc." + ".".join(f"`{p}`" for p in path.split(".")))
         kind = _default(default)[1]
         value = {"STRING": F.lower(col), "BOOLEAN": F.initcap(col.cast("string")),
-                 "ARRAY": F.array_join(F.transform(col, F.lower), ", ") if kind == "ARRAY" else None}.get(kind, col.cast("string"))
+                 "ARRAY": F.array_join(F.transform(col, lambda x: F.coalesce(F.lower(x), F.lit("None"))), ", ") if kind == "ARRAY" else None}.get(kind, col.cast("string"))
         return F.struct(F.lit(path.lower().replace(".", "_")).alias("key"), value.alias("value"),
                         F.lit("LIST" if kind == "ARRAY" else kind).alias("type"))
 
     entries = F.array(*[entry(p, d) for p, d in template_paths(template)])
-    rows = flatten(parsed, "_other", "_entries", _levels(df, doc, levels))
-    entries = F.when(F.col("_other").isNull(), entries).otherwise(F.col("_entries"))
-    return rows.withColumn(out, F.filter(entries, lambda e: e.value.isNotNull() & (e.type != "VOID"))).drop("_doc", "_other", "_entries")
+    rows = _finished(df, "_entries", levels)
+    entries = F.when(F.col("_odd"), F.col("_entries")).otherwise(F.concat(entries, F.col("_entries")))
+    return rows.withColumn(out, F.filter(entries, lambda e: e.value.isNotNull() & (e.type != "VOID"))).drop("_doc", "_kinds", "_new", "_odd", "_entries")
 
 
 def load_template(path: str, key: str = fixed.REMOVED_KEY) -> tuple[dict, T.StructType]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce as fold
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions import vectors as V
-from ..session import constant
+from ..session import constant, cut_lineage
 from . import metrics, models, tables
 from .documents import explode_features, features_text, section_text
 from .ranking import hash_key, shuffled_rank, stratified_folds, stratified_split
@@ -197,12 +196,12 @@ def prototype_trajectory(protos: DataFrame, axis: DataFrame, embed: Embed, secti
 
 # --- attribution of sections and features -----------------------------------------
 
-def _fold_scores(ready: DataFrame, fold: int, name: str) -> DataFrame:
-    """(name, fold, label, s): held-out scores of a balanced logistic regression."""
+def _fold_scores(ready: DataFrame, fold: int, n: int) -> DataFrame:
+    """(fold, label, s): held-out scores of a balanced logistic regression on all but one of the folds' n rows."""
     train = ready.where(F.col("fold") != fold)
-    model = LogisticRegression(maxIter=100, regParam=1 / train.count(), standardization=False, weightCol="weight").fit(train)
+    model = LogisticRegression(maxIter=100, regParam=1 / n, standardization=False, weightCol="weight").fit(train)
     held = model.transform(ready.where(F.col("fold") == fold))
-    return held.select(F.lit(name).alias("name"), "fold", "label", F.element_at(vector_to_array("probability"), 2).alias("s"))
+    return held.select("fold", "label", F.element_at(vector_to_array("probability"), 2).alias("s"))
 
 
 def section_attribution(df: DataFrame, id_col: str, vec: str, label: str, sections: Sequence[str], dim: int,
@@ -210,20 +209,19 @@ def section_attribution(df: DataFrame, id_col: str, vec: str, label: str, sectio
     """Per section: AUC alone, AUC without it, the drop, and the distance of the class means."""
     two = df.where(F.col(label).isin(class_a, class_b)).select(
         F.col(id_col).alias("id"), F.col(vec).alias("vec"), (F.col(label) == class_b).cast("int").alias("label"))
-    marked = models.class_weights(stratified_folds(two, "label", ["id"], folds, seed), "label").persist()
+    marked = cut_lineage(models.class_weights(stratified_folds(two, "label", ["id"], folds, seed), "label"))
     n, v = len(sections), F.col("vec")
     parts = {"full": v}
     for i, s in enumerate(sections):
         parts[f"only {s}"] = V.section_slice(v, i, dim)
         parts[f"without {s}"] = V.without_section(v, i, dim, n)
-    ready = {k: marked.select("label", "fold", "weight", array_to_vector(V.as_double(c)).alias("features")).persist()
-             for k, c in parts.items()}
-    with ThreadPool(4) as pool:
-        scored = pool.starmap(lambda k, f: _fold_scores(ready[k], f, k), [(k, f) for k in parts for f in range(folds)])
-    per_fold = metrics.roc_auc(fold(DataFrame.unionByName, scored), "label", "s", "name", "fold")
-    auc = {r.name: r.auc for r in per_fold.groupBy("name").agg(F.avg("auc").alias("auc")).collect()}
-    for rows in [*ready.values(), marked]:
-        rows.unpersist()
+    sizes = {r["fold"]: r["n"] for r in marked.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, auc = sum(sizes.values()), {}
+    for name, c in parts.items():            # one part after the other: its folds' scores are written before the next
+        ready = marked.select("label", "fold", "weight", array_to_vector(V.as_double(c)).alias("features")).persist()
+        scored = cut_lineage(fold(DataFrame.unionByName, [_fold_scores(ready, f, total - sizes[f]) for f in sorted(sizes)]))
+        ready.unpersist()
+        auc[name] = metrics.roc_auc(scored, "label", "s", "fold").agg(F.avg("auc")).first()[0]
     table = df.sparkSession.createDataFrame(
         [(s, auc[f"only {s}"], auc[f"without {s}"], auc["full"] - auc[f"without {s}"]) for s in sections],
         "section string, auc_section_only double, auc_leave_out double, auc_drop double")

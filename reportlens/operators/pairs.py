@@ -1,4 +1,4 @@
-"""Work on all pairs of vectors, in square tiles.
+"""Work on pairs of vectors: near ones through cells, and all pairs in square tiles.
 
 Rows are hashed into blocks of a bounded size, and a tile is a pair of blocks. A tile is one bounded
 group whatever the data look like, and it returns per-row or per-group sums, the k nearest, or a
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .cells import Cells
 from .ranking import hash_key
 
 TILE_FLOATS = 1 << 22
@@ -115,27 +117,36 @@ def nearest(df: DataFrame, id_col: str, vec: str, k: int, metric: str = "cosine"
             block_rows: int | None = None, among: str | None = None) -> DataFrame:
     """(id, other, dist, rank): the k nearest other rows; ties go to the smaller id.
 
-    With `among`, only rows where that flag holds can be neighbours.
+    With `among`, only rows where that flag holds can be neighbours. A first pass in each row's own cell
+    bounds how far its neighbours can be, a second one looks into the cells within that bound.
     """
-    def top(ids, other_rows, dist):
-        others = other_rows["id"].to_numpy()
-        if among:
-            ok = other_rows["among"].to_numpy(dtype=bool)
-            others, dist = others[ok], dist[:, ok]
-        order = np.argsort(dist, axis=1, kind="stable")[:, : k + 1]
-        return pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "other": others[order].ravel(),
-                             "dist": np.take_along_axis(dist, order, 1).ravel()})
-
-    def kernel(left, right, same):
-        d = tile_distances(left, right, same, metric)
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        out = top(a, right, d) if same else pd.concat([top(a, right, d), top(b, left, d.T)], ignore_index=True)
-        return out[out["id"] != out["other"]]
+    def among_these(rows):
+        return rows["among"].to_numpy(dtype=bool) if among else np.ones(len(rows), bool)
+
+    def bound(rows):
+        d = distances(matrix(rows), matrix(rows), metric)
+        np.fill_diagonal(d, np.inf)
+        d = d[:, among_these(rows)]
+        far = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(rows), np.inf)
+        return pd.DataFrame({"id": rows["id"], "reach": np.where(np.isfinite(far), far, np.nan)})
+
+    def top(targets, visitors):
+        targets = targets[among_these(targets)]
+        others, ids = targets["id"].to_numpy(), visitors["id"].to_numpy()
+        if not len(others):
+            return pd.DataFrame()
+        d = distances(matrix(visitors), matrix(targets), metric)
+        d[ids[:, None] == others[None, :]] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "other": others[order].ravel(),
+                            "dist": np.take_along_axis(d, order, 1).ravel()})
+        return out[np.isfinite(out["dist"])]
 
     id_type = df.schema[id_col].dataType.simpleString()
-    carry = ["among"] if among else []
     rows = df.withColumn("among", F.col(among)) if among else df
-    part = tiles(rows, id_col, vec, carry, kernel, f"id {id_type}, other {id_type}, dist double", block_rows)
+    index = Cells(rows, id_col, vec, metric, ["among"] if among else [], block_rows)
+    reach = cut_lineage(index.own(bound, f"id {id_type}, reach double"))
+    part = index.within(reach, top, f"id {id_type}, other {id_type}, dist double")
     w = Window.partitionBy("id").orderBy("dist", "other")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -158,13 +169,14 @@ def _tile_roots(near: np.ndarray, same: bool) -> np.ndarray:
 def neighbour_counts(df: DataFrame, id_col: str, vec: str, eps: float, metric: str = "cosine",
                      block_rows: int | None = None) -> DataFrame:
     """(id, n): rows within eps, the row itself included."""
-    def kernel(left, right, same):
-        near = tile_distances(left, right, same, metric) <= eps
-        one = pd.DataFrame({"id": left["id"], "n": near.sum(1)})
-        return one if same else pd.concat([one, pd.DataFrame({"id": right["id"], "n": near.sum(0)})])
+    def count(targets, visitors):
+        near = distances(matrix(visitors), matrix(targets), metric) <= eps
+        near |= visitors["id"].to_numpy()[:, None] == targets["id"].to_numpy()[None, :]
+        return pd.DataFrame({"id": visitors["id"], "n": near.sum(1)})
 
     id_type = df.schema[id_col].dataType.simpleString()
-    part = tiles(df, id_col, vec, [], kernel, f"id {id_type}, n bigint", block_rows)
+    index = Cells(df, id_col, vec, metric, block_rows=block_rows)
+    part = index.within(index.rows.select("id", F.lit(float(eps)).alias("reach")), count, f"id {id_type}, n bigint")
     return part.groupBy("id").agg(F.sum("n").alias("n"))
 
 
@@ -175,27 +187,23 @@ def near_links(df: DataFrame, id_col: str, vec: str, core: str, eps: float, metr
     Per tile a spanning forest of the core rows, and for each border row one link to every
     group of core rows it touches there.
     """
-    def kernel(left, right, same):
-        near = tile_distances(left, right, same, metric) <= eps
-        both = left if same else pd.concat([left, right], ignore_index=True)
+    def kernel(left, right):
+        near = distances(matrix(left), matrix(right), metric) <= eps
+        near |= left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
+        both = pd.concat([left, right], ignore_index=True)
         ids, is_core = both["id"].to_numpy(), both["core"].to_numpy(dtype=bool)
         left_core, right_core = left["core"].to_numpy(dtype=bool), right["core"].to_numpy(dtype=bool)
-        root = _tile_roots(near & left_core[:, None] & right_core[None, :], same)
-        r, c = np.nonzero(near & (left_core[:, None] != right_core[None, :]))
-        if not same:
-            c = c + len(left)
-        links = [(ids[i], ids[root[i]], False) for i in np.nonzero(is_core & (root != np.arange(len(both))))[0]]
-        pairs = np.concatenate([np.stack([r, c], 1), np.stack([c, r], 1)])
-        edge = pairs[~is_core[pairs[:, 0]] & is_core[pairs[:, 1]]]
-        if len(edge):
-            edge = np.unique(np.stack([edge[:, 0], root[edge[:, 1]]], 1), axis=0)
-            links += [(ids[i], ids[j], True) for i, j in edge]
+        root = _tile_roots(near & left_core[:, None] & right_core[None, :], False)
+        r, c = np.nonzero(near & left_core[:, None] & ~right_core[None, :])
+        links = [(ids[i], ids[root[i]], False) for i in np.nonzero(is_core & (root != np.arange(len(both))))[0] if ids[i] != ids[root[i]]]
+        edge = np.unique(np.stack([c + len(left), root[r]], 1), axis=0)
+        links += [(ids[i], ids[j], True) for i, j in edge]
         return pd.DataFrame(links, columns=["a", "b", "border"])
 
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(id_col, vec, F.col(core).alias("core"))
-    return tiles(rows, id_col, vec, ["core"], kernel, f"a {id_type}, b {id_type}, border boolean",
-                 block_rows).distinct()
+    index = Cells(rows, id_col, vec, metric, ["core"], block_rows)
+    return index.within(index.rows.select("id", F.lit(float(eps)).alias("reach")), kernel, f"a {id_type}, b {id_type}, border boolean").distinct()
 
 
 def reach_links(df: DataFrame, id_col: str, vec: str, core_dist: str, metric: str = "euclidean",

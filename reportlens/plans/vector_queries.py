@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import cluster, documents, external, metrics, pairs, reduce, stability, tables
+from ..operators import cluster, documents, external, linkage, metrics, pairs, reduce, stability, tables
 from ..operators.ranking import stratified_folds, subsample
 from ..session import cut_lineage
 from . import inputs as I
@@ -367,12 +367,47 @@ def dbscan_eps(t):
 
 @query("I06")
 def density_sizes(t):
-    return as_table(cluster.density_levels(small_vectors(t), "vec_id", "reduced", 5, 5, 4))
+    return as_table(cluster.density_tree(small_vectors(t), "vec_id", "reduced", 5, 5))
+
+
+def planted_vectors(t) -> DataFrame:
+    """Vectors moved far apart by their label, so every clustering has to find the labels."""
+    moved = F.transform(V.as_double(F.col("embedding")), lambda x, i: x + F.when(i == F.col("label"), 20.0).otherwise(0.0))
+    return I.vectors(t).select("vec_id", "label", moved.alias("embedding"))
+
+
+SQL_PLANTED = "SELECT CAST(row_number() OVER (ORDER BY min(vec_id)) - 1 AS INTEGER) AS label, count(*) AS n FROM embeddings GROUP BY embeddings.label"
+
+
+@query("I01 I10", SQL_PLANTED)
+def kmeans_planted(t):
+    rows = cut_lineage(planted_vectors(t))
+    found = cluster.cluster(rows, "vec_id", "embedding", "kmeans", rows.select("label").distinct().count())
+    return linkage.numbered(found.labels, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("I06", SQL_PLANTED)
+def density_planted(t):
+    return as_table(cluster.density_tree(planted_vectors(t), "vec_id", "embedding", 5, 5))
+
+
+@query("I08", f"SELECT method, label, n FROM ({SQL_PLANTED}), (SELECT unnest(['ward', 'complete', 'average']) AS method)")
+def linkage_planted(t):
+    rows = cut_lineage(planted_vectors(t))
+    k = rows.select("label").distinct().count()
+    parts = [as_table(cluster.hierarchical(rows, "vec_id", "embedding", k, m)).withColumn("method", F.lit(m)) for m in ("ward", "complete", "average")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("I07")
 def spectral_sizes(t):
-    return as_table(cluster.spectral(small_vectors(t), "vec_id", "reduced", 4, max_iter=10))
+    return as_table(cluster.spectral(small_vectors(t), "vec_id", "reduced", 4))
+
+
+@query("I07", SQL_PLANTED)
+def spectral_planted(t):
+    rows = cut_lineage(planted_vectors(t))
+    return as_table(cluster.spectral(rows, "vec_id", "embedding", rows.select("label").distinct().count()))
 
 
 @query("I07 D13", f"""
@@ -386,7 +421,7 @@ def neighbour_affinity(t):
 @query("I08")
 def hierarchical_sizes(t):
     rows = small_vectors(t)
-    parts = [as_table(cluster.hierarchical(rows, "vec_id", "reduced", 4, m, micro=64)).withColumn("method", F.lit(m))
+    parts = [as_table(cluster.hierarchical(rows, "vec_id", "reduced", 4, m)).withColumn("method", F.lit(m))
              for m in ("ward", "complete", "average")]
     parts.append(as_table(cluster.bisecting(rows, "vec_id", "reduced", 4)).withColumn("method", F.lit("bisecting")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
@@ -404,7 +439,7 @@ def report_leaderboard(t):
     vecs = [I.embed(c) for c in [F.col(f"text_{s}") for s in I.SECTIONS]]
     rows = documents.section_texts(docs, "features", I.SECTIONS).select(
         "doc_id", V.concat_sections(vecs, I.DIM).alias("embedding"))
-    configs = [("kmeans", {"k": 2, "n_init": 2}), ("kmeans", {"k": 4, "n_init": 2}), ("hierarchical", {"k": 4, "micro": 64}), ("gmm", {"k": 2})]
+    configs = [("kmeans", {"k": 2, "n_init": 2}), ("kmeans", {"k": 4, "n_init": 2}), ("hierarchical", {"k": 4}), ("gmm", {"k": 2})]
     board, _, _ = cluster.report_clusters(cut_lineage(rows), "doc_id", "embedding", 8, configs, intermediate=32)
     nums = ["silhouette", "calinski_harabasz", "davies_bouldin", "noise_ratio"]
     return rounded(board.select("rank", "config_key", "algorithm", "n_clusters", *nums), *nums)

@@ -98,6 +98,45 @@ def test_nothing_is_lost_below_six_levels(spark):
         D.flatten(df, "doc", levels=3).collect()
 
 
+def test_deep_documents_in_a_plan_that_does_not_grow(spark):
+    doc = {"end": 1, "n": [1.5, -2e-7, 12345678.25, 1e30], "s": "Ü}\"", "b": False, "o": {}, "z": None, "l": ["A", None], "d": [{"K": "V"}, 3, {"k": {"w": 2.5}}]}
+    for i in range(200):
+        doc = {"Level": doc, "x": i} if i % 2 else {"x": i, "Level": doc}
+    df = spark.createDataFrame([(json.dumps(doc),), ('{"k": {"l": 1}}',)], "doc string")
+    rows = D.flatten(df, "doc")
+    got = {r.key: r.value for r in D.explode_features(rows).collect()}
+    deep = "level_" * 200
+    assert got[deep + "end"] == "1" and got[deep + "s"] == "ü}\"" and got[deep + "b"] == "False" and got[deep + "z"] is None
+    assert got[deep + "l"] == "a, None" and got[deep + "d_0_k"] == "v" and got[deep + "d_2_k_w"] == "2.5" and deep + "o" not in got
+    assert got["k_l"] == "1" and len([k for k in got if k.endswith("_x") or k == "x"]) == 200
+    found = D.map_to_template(df.limit(1), "doc", {"q": {"end": 0}}).first().mapped
+    assert [(m.value, m.origin) for m in found] == [("1", "alike")]
+
+
+def test_walk_follows_the_rules_of_the_plan(spark):
+    doc = {"A": {"b": [{"C": {"D": [1, "x"]}}, 7, {"E": []}], "f": {"G": {"h": {"I": True}}}, "j": [[{"k": 1}]], "n": 1.50, "big": 123456789012, "e": {}}}
+    df = spark.createDataFrame([(json.dumps(doc),)], "doc string")
+    plain = lambda rows: [(r.key, r.value, r.type) for r in rows]
+    top = plain(df.select(D.children(F.col("doc")).alias("e")).first().e)
+    walked = [e for e in D.walk(top, True) if e[2] != "OBJECT"]
+    in_plan = [e for e in plain(D._opened(df.withColumn("e", D.children(F.col("doc"))), "e", 9, True).first().e) if e[2] != "OBJECT"]
+    number = lambda es: [(k, v, "NUMBER" if t in ("DOUBLE", "DECIMAL", "BIGINT") else t) for k, v, t in es]
+    assert number(walked) == number(in_plan)
+    top = plain(df.select(D.children(F.col("doc"), None, ".", False).alias("e")).first().e)
+    assert number(D.walk(top, False)) == number(plain(D.nodes(df, "doc", "e", 9).first().e))
+
+
+def test_template_path_keeps_unknown_members(spark):
+    template = {"S": {"Code": 1, "Name": "n", "In": {"Deep": ""}}, "L": []}
+    docs = [{"S": {"Code": 1, "Name": None, "In": {"Deep": None}}, "L": ["A", None], "Extra": {"x": {"Y": "Z"}}, "More": 2.5}, {"Other": [{"a": 1}]}, {"S": None, "L": []},
+            {"S": {"In": {"Deep": "D", "New": 1}}, "l": 3}, {"S": {"Code": 1.5}}, {"L": [1, "x"]}, {"S": "text"}, {}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(98, "[1]"), (99, None)], "i int, doc string")
+    kv = lambda rows: sorted((r.i, r.key, r.value) for r in D.explode_features(rows, "i").collect() if r.value is not None)
+    assert kv(D.flatten_template(df, "doc", template)) == kv(D.flatten(df, "doc"))
+    odd = D.flatten_template(df, "doc", template).count()
+    assert odd == len(docs) + 2
+
+
 def test_documents_off_the_template_lose_nothing(spark):
     template = {"S": {"Code": 1, "Name": "n", "Tags": ["t"]}}
     docs = [{"S": {"Code": "two", "Name": "A"}}, {"S": {"Code": 2, "Name": "A", "More": {"New": "B"}}}, {"S": {"Code": 3, "Name": None}}, {"S": {"Name": ["x", "Y"]}}]

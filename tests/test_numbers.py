@@ -165,7 +165,7 @@ def test_reach_links_hold_the_spanning_tree(points):
 
 @pytest.mark.parametrize("method,params", [
     ("kmeans", {"n_init": 2}), ("gmm", {}), ("hierarchical", {"method": "ward"}), ("hierarchical", {"method": "complete"}),
-    ("hierarchical", {"method": "average"}), ("hdbscan", {"min_cluster_size": 10, "levels": 4})])
+    ("hierarchical", {"method": "average"}), ("hdbscan", {"min_cluster_size": 10})])
 def test_clear_groups_are_found(points, method, params):
     shifted = points.withColumn("vec", F.transform("vec", lambda x, i: F.when(i == 0, 5 - 2 * F.col("label")).otherwise(x)))
     found = cluster.cluster(shifted, "id", "vec", method, 3, **params)
