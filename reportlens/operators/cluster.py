@@ -111,12 +111,12 @@ def _combined(rows: DataFrame, keep: Sequence[str], cols: Sequence[str], weights
     return rows.select(*keep, *mix)
 
 
-def leading_vectors(affinity: DataFrame, nodes: DataFrame, k: int, extra: int = 4, max_iter: int = 40, tol: float = 1e-4, seed: int = 42) -> DataFrame:
+def leading_vectors(affinity: DataFrame, nodes: DataFrame, k: int, extra: int = 4, max_iter: int = 40, tol: float = 1e-3, seed: int = 42) -> DataFrame:
     """(id, x0 .. x(k-1)): eigenvectors of the largest eigenvalues of a symmetric sparse matrix (id, other, s).
 
     Block subspace iteration on (matrix + I) / 2, whose eigenvalues lie in 0 to 1 for an affinity of unit
     row sums. A step is one join with the vectors and one sum per row; the driver sees matrices as wide as
-    the block. It ends when the block's growth factors move by less than tol.
+    the block. It ends when the growth factors of the first k vectors move by less than tol.
     """
     b = min(k + extra, nodes.count())
     x, y = [f"x{j}" for j in range(b)], [f"y{j}" for j in range(b)]
@@ -131,7 +131,7 @@ def leading_vectors(affinity: DataFrame, nodes: DataFrame, k: int, extra: int =
         new = [((F.col(c) + F.coalesce(F.col(d), F.lit(0.0))) / 2).alias(d) for c, d in zip(x, y)]
         rows = cut_lineage(rows.join(sums, "id", "left").select("id", *x, *new))
         growth = np.diag(lower)
-        if np.abs(growth - before).max() < tol or step == max_iter - 1:
+        if np.abs(growth - before)[:k].max() < tol or step == max_iter - 1:
             break
         before, rows = growth, rows.select("id", *[F.col(d).alias(c) for c, d in zip(x, y)])
     small = _gram(rows, x, y)
