@@ -101,8 +101,15 @@ def _normalized_affinity(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _gram(rows: DataFrame, left: Sequence[str], right: Sequence[str]) -> np.ndarray:
-    sums = rows.agg(*[F.sum(F.col(a) * F.col(b)) for a in left for b in right]).first()
-    return np.array(sums, float).reshape(len(left), len(right))
+    """Sums of products of two sets of columns; of one set with itself, each product once."""
+    same = left == right
+    at = [(i, j) for i in range(len(left)) for j in range(i if same else 0, len(right))]
+    out = np.zeros((len(left), len(right)))
+    for (i, j), x in zip(at, rows.agg(*[F.sum(F.col(left[i]) * F.col(right[j])) for i, j in at]).first()):
+        out[i, j] = x
+        if same:
+            out[j, i] = x
+    return out
 
 
 def _combined(rows: DataFrame, keep: Sequence[str], cols: Sequence[str], weights: np.ndarray) -> DataFrame:
@@ -111,7 +118,7 @@ def _combined(rows: DataFrame, keep: Sequence[str], cols: Sequence[str], weights
     return rows.select(*keep, *mix)
 
 
-def leading_vectors(affinity: DataFrame, nodes: DataFrame, k: int, extra: int = 4, max_iter: int = 40, tol: float = 1e-3, seed: int = 42) -> DataFrame:
+def leading_vectors(affinity: DataFrame, nodes: DataFrame, k: int, extra: int = 4, max_iter: int = 40, tol: float = 4e-3, seed: int = 42) -> DataFrame:
     """(id, x0 .. x(k-1)): eigenvectors of the largest eigenvalues of a symmetric sparse matrix (id, other, s).
 
     Block subspace iteration on (matrix + I) / 2, whose eigenvalues lie in 0 to 1 for an affinity of unit

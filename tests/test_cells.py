@@ -79,12 +79,12 @@ def test_leading_vectors(spark):
     d = a.sum(1)
     s = a / np.sqrt(d[:, None] * d[None])
     affinity = spark.createDataFrame([(int(i), int(j), float(s[i, j])) for i, j in zip(*np.nonzero(s))], "id int, other int, s double")
-    got = cluster.leading_vectors(affinity, spark.range(30).select(F.col("id").cast("int")), 3, tol=1e-9, max_iter=80).orderBy("id").toPandas()
+    got = cluster.leading_vectors(affinity, spark.range(30).select(F.col("id").cast("int")), 3, extra=3, tol=1e-7, max_iter=30).orderBy("id").toPandas()
     x = got[["x0", "x1", "x2"]].to_numpy()
     values, vectors = np.linalg.eigh(s)
     assert np.allclose(x.T @ x, np.eye(3), atol=1e-6)
-    assert np.allclose(np.abs(vectors[:, -1] @ x[:, 0]), 1, atol=1e-6)
-    assert np.allclose(np.diag(x.T @ s @ x), values[::-1][:3], atol=1e-3)
+    assert np.allclose(np.abs(vectors[:, -1] @ x[:, 0]), 1, atol=1e-4)
+    assert np.allclose(np.diag(x.T @ s @ x), values[::-1][:3], atol=1e-2)
 
 
 def test_default_sweep(spark):
