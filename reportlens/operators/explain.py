@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..functions import vectors as V
 from ..session import constant, cut_lineage
-from . import metrics, models, tables
+from . import attribution, metrics, models, tables
 from .documents import explode_features, features_text, section_text
 from .ranking import hash_key, shuffled_rank, stratified_folds, stratified_split
 
@@ -270,6 +270,13 @@ class Surrogate:
         rows = [(e, r, float(values[i])) for i, e, r in models.encoded_names(self.encoder, self.numeric, self.categorical)]
         return self.train.sparkSession.createDataFrame(rows, "encoded_feature string, raw_feature string, importance double")
 
+    def attribution(self) -> DataFrame:
+        """(encoded_feature, raw_feature, importance): mean absolute exact Shapley value over the held-out rows."""
+        found = attribution.mean_absolute(self.encoder.transform(self.test), self.model)
+        names = models.encoded_names(self.encoder, self.numeric, self.categorical)
+        named = self.train.sparkSession.createDataFrame(names, "feature int, encoded_feature string, raw_feature string")
+        return named.join(found, "feature").select("encoded_feature", "raw_feature", "importance")
+
     def shapley(self, draws: int = 8) -> DataFrame:
         """(raw_feature, importance): mean absolute sampled Shapley value (Strumbelj and Kononenko 2014).
 

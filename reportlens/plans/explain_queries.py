@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from ..operators import explain, external, models, tables
+from ..operators import attribution, explain, external, models, tables
 from ..operators.ranking import stratified_split
 from . import inputs as I
 from .registry import R, query, r6, rounded
@@ -132,12 +134,27 @@ def flat_labelled(t):
 
 @query("M02 M03 C21 E04")
 def surrogate_importance(t):
-    """Hold-out AUC, forest importance and sampled Shapley values of a surrogate."""
+    """Hold-out AUC, forest importance, exact and sampled Shapley values of a surrogate."""
     s = explain.Surrogate(flat_labelled(t), "o_orderkey", "y", trees=20, depth=6)
     auc = s.auc().select(F.lit("auc").alias("measure"), F.lit("all").alias("raw_feature"), F.col("auc").alias("value"))
     raw = explain.raw_importance(s.encoded_importance()).select(F.lit("forest").alias("measure"), "raw_feature", F.col("importance").alias("value"))
     shap = s.shapley(2).select(F.lit("shapley").alias("measure"), "raw_feature", F.col("importance").alias("value"))
-    return auc.unionByName(raw).unionByName(shap)
+    exact = explain.raw_importance(s.attribution()).select(F.lit("exact").alias("measure"), "raw_feature", F.col("importance").alias("value"))
+    return auc.unionByName(raw).unionByName(shap).unionByName(exact)
+
+
+@query("M03", f"""
+WITH o AS (SELECT o_orderkey, CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS a, CAST(o_orderstatus = 'F' AS INTEGER) AS b FROM orders),
+m AS (SELECT avg(a * b) AS v0, avg(b) FILTER (a = 1) AS va, avg(a) AS pa FROM o)
+SELECT o_orderkey, {R('((a * va - v0) + (a * b - b * pa)) / 2', 'urgent')},
+  {R('((b * pa - v0) + (a * b - a * va)) / 2', 'finished')} FROM o, m""")
+def exact_attribution(t):
+    """Exact Shapley values of a tree that learns 'urgent and finished' from two flags of each order."""
+    a, b = (F.col("o_orderpriority") == "1-URGENT").cast("double"), (F.col("o_orderstatus") == "F").cast("double")
+    rows = t.orders.select("o_orderkey", (a * b).alias("y"), array_to_vector(F.array(a, b)).alias("features")).persist()
+    tree = RandomForestClassifier(labelCol="y", numTrees=1, maxDepth=2, bootstrap=False, featureSubsetStrategy="all").fit(rows)
+    out = attribution.shapley_values(rows, tree)
+    return out.select("o_orderkey", r6(F.element_at("shapley", 1)).alias("urgent"), r6(F.element_at("shapley", 2)).alias("finished"))
 
 
 @query("M15 C22 F10", f"""
