@@ -9,8 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
-    RandomForestClassifier,
+    LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier,
 )
 from pyspark.ml.feature import Binarizer, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..session import cached, constant
+from . import boosting as gradient
 from . import metrics, pairs
 from .ranking import stratified_folds
 
@@ -65,24 +65,9 @@ def forest(trees: int = 100, depth: int = 20, min_leaf: int = 1, weight: str | N
     return _fitted(make)
 
 
-def boosting(rounds: int = 200, depth: int = 6, step: float = 0.1, seed: int = 42) -> Spec:
-    """Gradient boosted trees; one against the rest for more than two classes."""
-    tool = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
-
-    def spec(train, classes):
-        if classes == 2:
-            return _fitted(lambda t, k: tool)(train, classes)
-        model = OneVsRest(classifier=tool, rawPredictionCol="rawPrediction").fit(train)
-        share = lambda r: F.transform(r, lambda x: 1 / (1 + F.exp(-2 * x)))
-
-        def predict(df):
-            out = model.transform(df).withColumn("_p", share(vector_to_array("rawPrediction")))
-            total = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x)
-            return out.withColumn("probability", F.transform("_p", lambda x: x / total)).drop("_p")
-
-        return predict
-
-    return spec
+def boosting(rounds: int = 200, depth: int = 6, step: float = 0.1, bins: int = 64) -> Spec:
+    """Gradient boosted trees on histograms; softmax for more than two classes."""
+    return lambda train, classes: gradient.fit(train, classes, rounds, depth, step, bins).predict
 
 
 def perceptron(hidden: int = 100, max_iter: int = 500, seed: int = 42) -> Spec:

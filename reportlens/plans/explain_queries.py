@@ -6,7 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from ..operators import attribution, explain, external, models, tables
+from ..operators import attribution, boosting, explain, external, models, tables
 from ..operators.ranking import stratified_split
 from . import inputs as I
 from .registry import R, query, r6, rounded
@@ -195,6 +195,22 @@ def boosting_scores(t):
     return models.model_table(train, test, {"Boosting": models.boosting(10, 4)}, folds=0).drop("seconds")
 
 
+@query("L05", f"""
+WITH o AS (SELECT o_orderkey, o_orderstatus AS s FROM orders), n AS (SELECT s, count(*) AS n, sum(count(*)) OVER () AS total FROM o GROUP BY 1),
+own AS (SELECT s, 0.3 * (n * 2 / 3.0) / (n * 2 / 9.0 + 1) AS up, -0.3 * ((total - n) / 3.0) / ((total - n) * 2 / 9.0 + 1) AS down,
+  -0.3 * (n / 3.0) / (n * 2 / 9.0 + 1) AS alone FROM n),
+z AS (SELECT o_orderkey, CASE WHEN o.s = 'F' THEN f.up ELSE f.down END AS zf, CASE WHEN o.s = 'O' THEN p.up ELSE p.down END AS zo,
+  CASE WHEN o.s = 'P' THEN me.up ELSE me.alone END AS zp FROM o JOIN own f ON f.s = 'F' JOIN own p ON p.s = 'O' JOIN own me ON me.s = o.s)
+SELECT o_orderkey, {R('exp(zf) / (exp(zf) + exp(zo) + exp(zp))', 'p_f')}, {R('exp(zo) / (exp(zf) + exp(zo) + exp(zp))', 'p_o')},
+  {R('exp(zp) / (exp(zf) + exp(zo) + exp(zp))', 'p_p')} FROM z""")
+def boosted_status(t):
+    """One round of three-class boosting on two flags of each order; its second-order leaves have a closed form."""
+    flag = lambda s: (F.col("o_orderstatus") == s).cast("double")
+    rows = t.orders.select("o_orderkey", F.array(flag("F"), flag("O")).alias("vec"), (flag("O") + 2 * flag("P")).alias("label"))
+    out = boosting.fit(rows, 3, rounds=1, depth=2, step=0.3).predict(rows)
+    return out.select("o_orderkey", *[r6(F.element_at("probability", i + 1)).alias(f"p_{c}") for i, c in enumerate("fop")])
+
+
 @query("L04", f"""
 WITH s AS (SELECT vec_id, embedding, label % 2 AS y, row_number() OVER (PARTITION BY label % 2 ORDER BY
     CAST(('0x' || left(md5('42:' || vec_id), 15)) AS BIGINT), vec_id) <= floor(count(*) OVER (PARTITION BY label % 2) * CAST(0.2 AS DOUBLE)) AS test FROM embeddings),
