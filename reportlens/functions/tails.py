@@ -76,6 +76,19 @@ def t_two_sided(t: float, df: float) -> float:
     return f_tail(t * t, 1, df)
 
 
+def t_quantile(df: float, level: float = 0.95) -> float:
+    """The t for which a share level of the distribution lies between -t and t, by halving."""
+    lo, hi = 0.0, 2.0
+    while t_two_sided(hi, df) > 1 - level:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break
+        lo, hi = (mid, hi) if t_two_sided(mid, df) > 1 - level else (lo, mid)
+    return hi
+
+
 def _udf(fn):
     @F.pandas_udf("double")
     def run(*cols: pd.Series) -> pd.Series:

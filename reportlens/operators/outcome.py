@@ -202,6 +202,9 @@ def annotations(df: DataFrame, value: str, cluster: str, variable: str, risk: st
 
 # --- regressions --------------------------------------------------------------
 
+NORMAL_95 = 1.959963984540054       # of a normal distribution, 95 percent lie within
+
+
 def _design(df: DataFrame, cols: Sequence[str], outcome: str) -> tuple[DataFrame, list[str]]:
     """Complete cases with dummy columns (first level dropped) for the non-numeric columns."""
     cols = tables.existing(df, cols)
@@ -230,8 +233,8 @@ def _glm(df: DataFrame, cols: Sequence[str], outcome: str, family: str) -> DataF
     rows = [(n, float(c), float(e), float(t), float(p), outcome)
             for n, c, e, t, p in zip([*names, "const"], coef, s.coefficientStandardErrors, s.tValues, s.pValues)]
     out = df.sparkSession.createDataFrame(rows, "variable string, coef double, std_err double, stat double, p double, outcome string")
-    return out.withColumns({"ci_low": F.col("coef") - 1.959964 * F.col("std_err"),
-                            "ci_high": F.col("coef") + 1.959964 * F.col("std_err")})
+    half = F.col("std_err") * (tails.t_quantile(s.residualDegreeOfFreedom) if family == "gaussian" else NORMAL_95)
+    return out.withColumns({"ci_low": F.col("coef") - half, "ci_high": F.col("coef") + half})
 
 
 def binary_outcome(df: DataFrame, cols: Sequence[str], outcome: str) -> DataFrame:
@@ -240,7 +243,7 @@ def binary_outcome(df: DataFrame, cols: Sequence[str], outcome: str) -> DataFram
 
 
 def continuous_outcome(df: DataFrame, cols: Sequence[str], outcome: str) -> DataFrame:
-    """Least squares: one row per coefficient."""
+    """Least squares: one row per coefficient, intervals by the t distribution."""
     return _glm(df, cols, outcome, "gaussian")
 
 
@@ -300,7 +303,7 @@ def _efron(s0: float, d0: float, d: int) -> tuple[float, float, float, float, fl
 
 
 def cox(df: DataFrame, cols: Sequence[str], time: str, event: str, max_iter: int = 25, tol: float = 1e-9) -> DataFrame:
-    """Proportional hazards with Efron ties: one row per coefficient.
+    """Proportional hazards with Efron ties: one row per coefficient, with 95 percent intervals of it and of its ratio.
 
     A Newton step is one aggregate to distinct times, a two-level running total for the risk sets and one
     sum of gradients; the driver sees the coefficients only.
@@ -369,11 +372,14 @@ def cox(df: DataFrame, cols: Sequence[str], time: str, event: str, max_iter: int
     rows.unpersist()
     se = np.sqrt(np.diag(np.linalg.inv(-hess))) / sd
     coef = beta / sd
-    out = [(n, float(c), float(math.exp(c)), float(s), float(c / s), tails.normal_two_sided(float(c / s)), float(ll), time, event)
+    out = [(n, float(c), float(s), float(c / s), tails.normal_two_sided(float(c / s)), float(ll), time, event)
            for n, c, s in zip(names, coef, se)]
-    return df.sparkSession.createDataFrame(
-        out, "variable string, coef double, exp_coef double, se double, z double, p double, log_likelihood double, "
-             "time_col string, event_col string")
+    table = df.sparkSession.createDataFrame(
+        out, "variable string, coef double, se double, z double, p double, log_likelihood double, time_col string, event_col string")
+    half = NORMAL_95 * F.col("se")
+    table = table.withColumns({"coef_low": F.col("coef") - half, "coef_high": F.col("coef") + half})
+    return table.withColumns({"exp_coef": F.exp("coef"), "exp_low": F.exp("coef_low"), "exp_high": F.exp("coef_high"),
+                              "bits": F.when(F.col("p") > 0, -F.log2("p"))})
 
 
 def outcome_tables(df: DataFrame, cols: Sequence[str], binary: Sequence[str] = (), continuous: Sequence[str] = (),

@@ -117,18 +117,27 @@ def binary_outcome(t):
     return rounded(outcome.binary_outcome(rows, ["kchars", "lang"], "quality"), "coef", "std_err", "stat", "p", "ci_low", "ci_high")
 
 
+# the quantile of t as a series in 1 / n around the normal one
+SQL_T = "(1.959963984540054 + (pow(1.959963984540054, 3) + 1.959963984540054) / (4 * nu)" \
+        " + (5 * pow(1.959963984540054, 5) + 16 * pow(1.959963984540054, 3) + 3 * 1.959963984540054) / (96 * nu * nu))"
+
+
 @query("O02", f"""
-WITH {I.SQL_DURATIONS}, r AS (SELECT regr_slope(time, quantity) AS b, regr_intercept(time, quantity) AS a FROM durations)
-SELECT 'quantity' AS variable, {R('b', 'coef')} FROM r UNION ALL SELECT 'const', {R('a')} FROM r""")
+WITH {I.SQL_DURATIONS}, d AS (SELECT CAST(time AS DOUBLE) AS y, CAST(quantity AS DOUBLE) AS x FROM durations WHERE time IS NOT NULL AND quantity IS NOT NULL),
+r AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x) AS sse,
+  avg(x) AS mx, count(*) AS n, count(*) - 2 AS nu FROM d),
+c AS (SELECT 'quantity' AS variable, b AS coef, sqrt(sse / nu / sxx) AS se, {SQL_T} AS q FROM r
+  UNION ALL SELECT 'const', a, sqrt(sse / nu * (1.0 / n + mx * mx / sxx)), {SQL_T} FROM r)
+SELECT variable, {R('coef', 'coef')}, {R('se', 'std_err')}, {R('coef / se', 'stat')}, {R('coef - q * se', 'ci_low')}, {R('coef + q * se', 'ci_high')} FROM c""")
 def continuous_outcome(t):
     fit = outcome.continuous_outcome(I.durations(t).withColumn("time", F.col("time").cast("double")), ["quantity"], "time")
-    return rounded(fit.select("variable", "coef"), "coef")
+    return rounded(fit.select("variable", "coef", "std_err", "stat", "ci_low", "ci_high"), "coef", "std_err", "stat", "ci_low", "ci_high")
 
 
 @query("O03 F15")
 def cox(t):
     fit = outcome.cox(I.durations(t), ["quantity", "discount", "grp"], "time", "event")
-    return rounded(fit, "coef", "exp_coef", "se", "z", "p", "log_likelihood")
+    return rounded(fit, "coef", "exp_coef", "se", "z", "p", "log_likelihood", "coef_low", "coef_high", "exp_low", "exp_high", "bits")
 
 
 @query("O04 F15", f"""

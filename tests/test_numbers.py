@@ -298,3 +298,12 @@ def test_baseline_text(spark):
 def test_kruskal_needs_enough_rows(spark):
     df = spark.createDataFrame([("v", "r", c, float(i)) for i, c in enumerate("aaabb")], "variable string, risk string, c string, x double")
     assert outcome.kruskal(df, "x", "c", "variable", "risk", min_rows=3).count() == 0
+
+
+def test_t_quantiles():
+    """Closed forms for one and two degrees of freedom, and the normal limit."""
+    import math
+    from reportlens.functions import tails
+    assert abs(tails.t_quantile(1) - math.tan(0.475 * math.pi)) < 1e-7
+    assert abs(tails.t_quantile(2) - 0.95 * math.sqrt(2 / (1 - 0.95 ** 2))) < 1e-8
+    assert abs(tails.t_quantile(1e7) - 1.959963984540054) < 1e-5
