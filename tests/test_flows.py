@@ -51,6 +51,16 @@ def test_cached_embeddings(spark, tmp_path):
     assert S.cached_embeddings(spark, first, path, embed).count() == 3
     assert S.cached_embeddings(spark, more, path, embed).where("embedding is not null").count() == 2
     assert seen == [2, 1]
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no table")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        S.cached_embeddings(spark, first, str(tmp_path / "broken"), embed)
+
+
+def test_cache_keys_differ_by_part(spark):
+    rows = spark.createDataFrame([("a", "bc"), ("ab", "c"), ("a", "bc"), ("a", None)], "s string, t string")
+    keys = [r[0] for r in rows.select(S.text_key("m", F.col("s"), F.col("t"))).collect()]
+    assert keys[0] == keys[2] and len(set(keys)) == 3 and len(keys[0]) == 64
 
 
 def test_documents_from_files(spark, tmp_path):
