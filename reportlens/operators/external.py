@@ -7,7 +7,6 @@ columns are handled here; a small thread pool in each task covers slow services.
 from __future__ import annotations
 
 import re
-import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -18,33 +17,20 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions import vectors as V
-from . import tables
-
-
-def with_retry(call: Callable, attempts: int = 3, first_wait: float = 4, top_wait: float = 10) -> Callable:
-    """call(text) -> (result, attempt, error), waiting longer after each failure."""
-    def run(body):
-        wait = first_wait
-        for i in range(1, attempts + 1):
-            try:
-                return call(body), i, None
-            except Exception as err:  # noqa: BLE001
-                if i == attempts:
-                    return None, i, f"{type(err).__name__}: {err}"
-                time.sleep(min(wait, top_wait))
-                wait *= 2
-        return None, attempts, "no attempt"
-
-    return run
+from ..sources.tables import text_key
+from . import answers, tables
+from .answers import with_retry
 
 
 def extract(reports: DataFrame, id_col: str, text_col: str, extractor: Callable[[str], str], role: str = "",
             template: Mapping = fixed.TEMPLATE, rules: Sequence[Mapping] = (), done: DataFrame | None = None,
             required: Sequence[str] = tuple(fixed.REQUIRED_SECTIONS), attempts: int = 3, wait: float = 4,
-            threads: int = 8, overwrite: bool = False) -> DataFrame:
+            threads: int = 8, overwrite: bool = False, kept: str | None = None, model: str = "",
+            slice_rows: int = answers.SLICE_ROWS) -> DataFrame:
     """(id, doc, status, attempts, error): documents a model reads out of reports.
 
-    status is ok, skipped (too short), failed (no answer), invalid (no JSON or missing sections).
+    status is ok, skipped (too short), failed (no answer), invalid (no JSON or missing sections). With kept, the folder
+    of an answer log, the calls are made at once, in slices, each prompt once per model; later runs take what is there.
     """
     todo = reports if done is None else tables.not_done(reports, done, [id_col], overwrite)
     usable, rejected = tables.split_usable(todo, text_col)
@@ -59,8 +45,14 @@ def extract(reports: DataFrame, id_col: str, text_col: str, extractor: Callable[
                                     "attempts": [g[1] for g in got], "error": [g[2] for g in got]})
 
     id_type = reports.schema[id_col].dataType.simpleString()
-    answers = asked.mapInPandas(call, f"{id_col} {id_type}, answer string, attempts int, error string")
-    read = answers.withColumn("doc", text.recover_json(F.col("answer")))
+    if kept is None:
+        got = asked.mapInPandas(call, f"{id_col} {id_type}, answer string, attempts int, error string")
+    else:
+        questions = asked.select(F.struct(id_col).alias("row"), text_key(model, "prompt", F.col("prompt")).alias("key"),
+                                 F.col("prompt").alias("body"))
+        got = answers.answered(questions, kept, lambda texts: [extractor(t) for t in texts], attempts=attempts, wait=wait,
+                               threads=threads, slice_rows=slice_rows).select("row.*", "answer", "attempts", "error")
+    read = got.withColumn("doc", text.recover_json(F.col("answer")))
     lacking = F.size(text.missing_keys(F.col("doc"), required)) > 0
     status = F.when(F.col("answer").isNull(), "failed").when(F.col("doc").isNull() | lacking, "invalid").otherwise("ok")
     ok = read.select(id_col, "doc", status.alias("status"), "attempts", "error")
@@ -90,11 +82,23 @@ def pattern_extractor(patterns: Mapping[str, str]) -> Callable[[str], str]:
 
 
 def embed_texts(df: DataFrame, text_col: str, embedder: Callable[[list[str]], Sequence[Sequence[float]]], dim: int,
-                out: str = "embedding", attempts: int = 3, wait: float = 4, batch: int = 64) -> DataFrame:
+                out: str = "embedding", attempts: int = 3, wait: float = 4, batch: int = 64, kept: str | None = None,
+                model: str = "", threads: int = 8, slice_rows: int = answers.SLICE_ROWS) -> DataFrame:
     """Add a vector per text; each distinct text is sent once, empty and failed ones get the zero vector.
 
-    Empty texts, the likely hot key, never enter the join.
+    Empty texts, the likely hot key, never enter the join. With kept, the folder of an answer log, vectors come from the
+    log and a column <out>_status tells ok, failed or empty.
     """
+    if kept is not None:
+        rows = df.select(F.struct(*df.columns).alias("row"), F.nullif(F.col(text_col), F.lit("")).alias("body"))
+        asks = rows.where("body is not null").withColumn("key", text_key(model, "text", F.col("body")))
+        floats = lambda texts: [np.asarray(v, dtype=np.float32) for v in embedder(texts)]
+        got = answers.answered(asks, kept, floats, "array<float>", attempts=attempts, wait=wait, threads=threads,
+                               batch=batch, slice_rows=slice_rows)
+        full = got.select("row.*", V.fit_dim(F.col("answer"), dim).alias(out), F.col("status").alias(f"{out}_status"))
+        return full.unionByName(rows.where("body is null").select(
+            "row.*", V.zeros(dim).alias(out), F.lit("empty").alias(f"{out}_status")))
+
     key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     rows = df.withColumn("_key", F.when(F.coalesce(F.col(text_col), F.lit("")) != "", key))
     distinct = rows.where("_key is not null").groupBy("_key").agg(F.min(text_col).alias("t"))

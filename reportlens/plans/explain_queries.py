@@ -6,10 +6,11 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from ..operators import attribution, boosting, explain, external, models, tables
+from ..operators import answers, attribution, boosting, explain, external, models, tables
 from ..operators.ranking import stratified_split
 from . import inputs as I
 from .registry import R, query, r6, rounded
+from .table_queries import folder
 from .vector_queries import euclid
 
 SQL_BASE = f"WITH {I.SQL_DOCS}, {I.SQL_TOP}, {I.SQL_AXIS}, base AS (SELECT *, section || '_' || key AS feature FROM feat WHERE label < 2)"
@@ -234,3 +235,29 @@ def extraction_status(t):
 
     out = external.extract(t.documents, "doc_id", "text", extractor, "Read.", {"a": ""}, required=["a"], wait=0)
     return tables.status_counts(out)
+
+
+@query("U01 A09 B03", """
+WITH d AS (SELECT trim(text) AS t, text, length(trim(text)) >= 10 AS usable, regexp_matches(text, 'the') AS good, regexp_matches(text, ' of ') AS half FROM documents),
+s AS (SELECT *, CASE WHEN NOT usable THEN 'skipped' WHEN good THEN 'ok' WHEN half THEN 'invalid' ELSE 'failed' END AS status FROM d)
+SELECT status, count(*) AS n, count(DISTINCT text) FILTER (usable) AS entries, count(DISTINCT text) FILTER (status = 'failed') AS asked_again FROM s GROUP BY status""")
+def kept_answers(t):
+    """Two runs over one answer log: the second asks only for what failed, and each prompt of the log stands once per call."""
+    def extractor(prompt: str) -> str:
+        body = prompt.split("Report:\n", 1)[1].split("\n\nAnswer with JSON", 1)[0]
+        if "the" not in body and " of " not in body:
+            raise ValueError("nothing to read")
+        return 'Found {"a": {"b": 1}}' if "the" in body else 'Found {"b": {"b": 1}}'
+
+    log = folder(t, "answers")
+    run = lambda: external.extract(t.documents, "doc_id", "text", extractor, "Read.", {"a": ""}, required=["a"], attempts=1,
+                                   wait=0, kept=log, model="patterns", slice_rows=20_000)
+    run()
+    first = answers.known(t.spark, log).groupBy("key").agg(F.count(F.lit(1)).alias("calls"))
+    counts = tables.status_counts(run())
+    both = answers.known(t.spark, log).groupBy("key").agg(F.count(F.lit(1)).alias("both"), F.any_value("answer").alias("answer"))
+    status = F.when(F.col("answer").isNull(), "failed").when(F.col("answer").startswith('Found {"a"'), "ok").otherwise("invalid")
+    calls = both.join(first, "key").groupBy(status.alias("status")).agg(
+        F.sum("calls").alias("entries"), F.sum(F.col("both") - F.col("calls")).alias("asked_again"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return counts.join(calls, "status", "left").select("status", "n", none("entries"), none("asked_again"))

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import cluster, documents, external, linkage, metrics, pairs, reduce, stability, tables
+from ..operators import answers, cluster, documents, external, linkage, metrics, pairs, reduce, stability, tables
 from ..operators.ranking import stratified_folds, subsample
-from ..session import cut_lineage
+from ..session import constant, cut_lineage
 from . import inputs as I
 from .registry import R, query, r6, rounded
-from .table_queries import sql_hash
+from .table_queries import folder, sql_hash
 
 SQL_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 
@@ -91,6 +91,21 @@ def embedded_texts(t):
     return vecs.select("doc_id", r6(checksum(F.col("embedding"))).alias("checksum"), r6(V.dot(F.col("embedding"), F.col("embedding"))).alias("square"))
 
 
+@query("U02 A09 H03", f"""
+WITH w AS (SELECT doc_id, md5(unnest(string_split_regex(lower(text), '\\s+'))) AS h, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents),
+c AS (SELECT doc_id, CAST(('0x' || left(h, 8)) AS BIGINT) % 16 AS b, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS x FROM w WHERE w <> '' GROUP BY 1, 2)
+SELECT doc_id, 'ok' AS status, {R('sum((b + 1) * x)', 'checksum')}, CAST((SELECT count(DISTINCT regexp_replace(text, '\\s+', ' ', 'g')) FROM documents WHERE text <> '') AS BIGINT) AS calls
+FROM c GROUP BY doc_id""")
+def kept_vectors(t):
+    """Vectors of a first run taken out of the answer log by a second one, and how many calls both made."""
+    log, texts = folder(t, "vectors"), t.documents.select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    for _ in range(2):
+        vecs = external.embed_texts(texts, "text", external.hashing_embedder(16), 16, wait=0, kept=log, model="hashing")
+    calls = answers.known(t.spark, log, "array<float>").agg(F.count(F.lit(1)).alias("calls"))
+    return vecs.where("embedding_status <> 'empty'").select("doc_id", F.col("embedding_status").alias("status"),
+        r6(checksum(F.col("embedding"))).alias("checksum"), constant(calls).alias("calls"))
+
+
 # --- reduction ----------------------------------------------------------------------
 
 def _distances_kept(rows: DataFrame, vec: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import json
+import os
+import uuid
 from pathlib import Path
 
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 
 from compare import compare, duck, entry
 from reportlens.functions import vectors as V
-from reportlens.operators import explain, external, models, tables
+from reportlens.operators import answers, explain, external, models, tables
 from reportlens.operators.documents import flatten, with_section
 from reportlens.plans.registry import QUERIES
 from reportlens.sources import tables as S
@@ -38,6 +40,70 @@ def test_embed_texts(spark):
     assert got[1] == got[2] and got[3] == got[4] == [0.0] * 6 and len(got[5]) == 6 and any(got[5])
 
 
+def test_answers_are_asked_once(spark, tmp_path):
+    """Calls over two actions, a run that ends early, a rerun, and a stream over the same log."""
+    calls, log = tmp_path / "calls", str(tmp_path / "log")
+    calls.mkdir()
+
+    def service(texts):
+        for body in texts:
+            (calls / f"{body}-{uuid.uuid4().hex}").touch()
+        if (calls / "down").exists():
+            raise OSError("down")
+        return [f"<{body}>" for body in texts]
+
+    def n_calls():
+        return len(list(calls.glob("t*")))
+
+    rows = spark.range(40).select(F.concat(F.lit("k"), F.col("id") % 20).alias("key"), F.concat(F.lit("t"), F.col("id") % 20).alias("body"))
+    out = answers.answered(rows, log, service, wait=0, slice_rows=6)
+    assert out.count() == 40 and {r.answer for r in out.collect()} == {f"<t{i}>" for i in range(20)} and n_calls() == 20
+    assert answers.known(spark, log).count() == 20
+    (calls / "down").touch()
+    more = rows.unionByName(spark.createDataFrame([("new", "t-new"), ("null", None)], "key string, body string"))
+    failed = {r.key: r for r in answers.answered(more, log, service, wait=0, attempts=2).collect()}
+    assert failed["new"].status == "failed" and "down" in failed["new"].error and failed["null"].status is None and n_calls() == 22
+    (calls / "down").unlink()
+    assert answers.ask(more, log, service, wait=0, retry_failed=False) == 0
+    again = {r.key: r for r in answers.answered(more, log, service, wait=0).collect()}
+    assert again["new"].answer == "<t-new>" and again["k3"].answer == "<t3>" and n_calls() == 23
+    more.write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, body string").json(str(tmp_path / "in"))
+    incremental.ask_arrived(stream, log, str(tmp_path / "cp"), service, wait=0).awaitTermination()
+    assert n_calls() == 23
+
+
+def test_a_run_that_ends_early_keeps_its_slices(spark, tmp_path):
+    log, asked = str(tmp_path / "log"), tmp_path / "asked"
+    asked.mkdir()
+
+    def service(texts):
+        if len(list(asked.iterdir())) >= 30:
+            os._exit(1)                       # the worker dies, and with it the job
+        (asked / uuid.uuid4().hex).touch()
+        return texts
+
+    rows = spark.range(60).select(F.col("id").cast("string").alias("key"), F.col("id").cast("string").alias("body"))
+    with pytest.raises(Exception):
+        answers.ask(rows, log, service, wait=0, slice_rows=10)
+    kept = answers.known(spark, log).count()
+    assert 0 < kept <= 30
+    assert answers.ask(rows, log, lambda texts: texts, wait=0, slice_rows=10) == 60 - kept
+    assert answers.known(spark, log).count() == answers.latest(answers.known(spark, log)).count() == 60
+
+
+def test_kept_vectors_have_a_status(spark, tmp_path):
+    def embedder(texts):
+        if "bad" in texts:
+            raise ValueError("bad text")
+        return external.hashing_embedder(4)(texts)
+
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, ""), (4, None), (5, "bad"), (6, "c")], "key int, body string")
+    got = {r.key: r for r in external.embed_texts(df, "body", embedder, 6, wait=0, kept=str(tmp_path / "v"), model="m").collect()}
+    assert {k: r.embedding_status for k, r in got.items()} == {1: "ok", 2: "ok", 3: "empty", 4: "empty", 5: "failed", 6: "ok"}
+    assert got[5].embedding == [0.0] * 6 and got[1].embedding == got[2].embedding and any(got[6].embedding) and got[1].body == "a b"
+
+
 def test_cached_embeddings(spark, tmp_path):
     path = str(tmp_path / "cache")
     seen = []
