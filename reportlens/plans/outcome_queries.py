@@ -199,3 +199,16 @@ def streamed_labels(t):
     labelled = incremental.assign_clusters(rows.select("doc_id", "embedding"), "embedding", reduction, model)
     incremental.append_table(labelled.select("doc_id", "label"), f"{path}/out", f"{path}/state").awaitTermination()
     return t.spark.read.parquet(f"{path}/out").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("O11", f"""
+WITH z AS (SELECT c_custkey, c_acctbal / 500 AS z, abs(c_acctbal) / 500 AS a FROM customer)
+SELECT c_custkey, {R('exp(-a / 2)', 'chi2_2')}, {R('exp(-a / 2) * (1 + a / 2 + a * a / 8)', 'chi2_6')}, {R('pow(1 + 2 * a / 7, -3.5)', 'f_2_7')},
+  {R('1 - 2 / pi() * atan(a)', 't_1')}, {R('1 - a / sqrt(2 + z * z)', 't_2')}, {R('1 - a / sqrt(4 + z * z) * (1 + 2 / (4 + z * z))', 't_4')} FROM z""")
+def closed_tails(t):
+    """Tails with a closed form, of every account balance."""
+    z = F.col("c_acctbal").cast("double") / 500
+    a, df = F.abs(z), F.lit
+    return t.customer.select("c_custkey", *[r6(p).alias(n) for n, p in {
+        "chi2_2": tails.chi2_p(a, df(2)), "chi2_6": tails.chi2_p(a, df(6)), "f_2_7": tails.f_p(a, df(2), df(7)),
+        "t_1": tails.t_p(z, df(1)), "t_2": tails.t_p(z, df(2)), "t_4": tails.t_p(z, df(4))}.items()])

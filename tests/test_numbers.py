@@ -307,3 +307,22 @@ def test_t_quantiles():
     assert abs(tails.t_quantile(1) - math.tan(0.475 * math.pi)) < 1e-7
     assert abs(tails.t_quantile(2) - 0.95 * math.sqrt(2 / (1 - 0.95 ** 2))) < 1e-8
     assert abs(tails.t_quantile(1e7) - 1.959963984540054) < 1e-5
+
+
+def test_tail_columns(spark):
+    """Columns equal the numbers over wide degrees of freedom, ends included; nothing known gives null."""
+    import random
+    random.seed(3)
+    rows = [(random.choice([0.001, 0.5, 2.0, 30.0, 400.0, 4000.0]) * random.random() * 2, random.choice([1, 2, 3, 7, 30, 3000]),
+             random.choice([1, 5, 40, 1000])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "x double, a int, b int")
+    x, a, b = F.col("x"), F.col("a"), F.col("b")
+    got = df.select("x", "a", "b", tails.chi2_p(x, a).alias("c"), tails.f_p(x, a, b).alias("f"), tails.normal_p(x).alias("n"),
+                    tails.t_p(x, b).alias("t")).collect()
+    for r in got:
+        for have, want in ((r.c, tails.chi2_tail(r.x, r.a)), (r.f, tails.f_tail(r.x, r.a, r.b)),
+                           (r.n, tails.normal_two_sided(r.x)), (r.t, tails.t_two_sided(r.x, r.b))):
+            assert math.isclose(have, want, rel_tol=1e-8, abs_tol=1e-13), r
+    ends = spark.createDataFrame([(None, 1), (float("nan"), 1), (-1.0, 1), (0.0, 1), (float("inf"), 1), (1.0, 0), (1.0, None)], "x double, a int")
+    got = ends.select(tails.chi2_p(x, a).alias("c"), tails.f_p(x, a, F.lit(3)).alias("f")).collect()
+    assert [(r.c, r.f) for r in got] == [(None, None), (None, None), (1, 1), (1, 1), (0, 0), (None, None), (None, None)]
