@@ -20,6 +20,7 @@ from ..functions import fixed
 from ..session import cached, constant
 from . import boosting as gradient
 from . import metrics, pairs
+from . import perceptron as network
 from .ranking import stratified_folds
 
 # A model spec fits (train with id, vec, features, label) and returns a function that adds
@@ -75,6 +76,11 @@ def perceptron(hidden: int = 100, max_iter: int = 500, seed: int = 42) -> Spec:
         layers=[len(t.first().vec), hidden, k], maxIter=max_iter, tol=1e-4, seed=seed))
 
 
+def stopped_perceptron(hidden: int = 100, epochs: int = 500, patience: int = 10, seed: int = 42) -> Spec:
+    """The perceptron trained in mini-batches until a validation fold gains nothing more."""
+    return lambda train, classes: network.fit(train, classes, hidden, epochs, patience, seed=seed).predict
+
+
 def bernoulli_bayes() -> Spec:
     """Features cut at zero, then Bernoulli naive Bayes."""
     return _fitted(lambda t, k: Pipeline(stages=[

@@ -6,7 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from ..operators import answers, attribution, boosting, explain, external, models, tables
+from ..operators import answers, attribution, boosting, explain, external, models, perceptron, tables
 from ..operators.ranking import stratified_split
 from . import inputs as I
 from .registry import R, query, r6, rounded
@@ -212,6 +212,15 @@ def boosted_status(t):
     return out.select("o_orderkey", *[r6(F.element_at("probability", i + 1)).alias(f"p_{c}") for i, c in enumerate("fop")])
 
 
+@query("L06", "SELECT c_custkey, CAST(c_acctbal > 4500 AS DOUBLE) AS prediction FROM customer WHERE abs(c_acctbal - 4500) > 1500")
+def stopped_network(t):
+    """A network that stops early, on classes with a wide gap between them."""
+    x = (F.col("c_acctbal").cast("double") - 4500) / 2000
+    rows = t.customer.where("abs(c_acctbal - 4500) > 1500").select(F.col("c_custkey").alias("id"), F.array(x, x * x).alias("vec"), (x > 0).cast("int").alias("label"))
+    out = perceptron.fit(rows, 2, hidden=8, patience=3, step=0.05).predict(rows)
+    return out.select(F.col("id").alias("c_custkey"), "prediction")
+
+
 @query("L04", f"""
 WITH s AS (SELECT vec_id, embedding, label % 2 AS y, row_number() OVER (PARTITION BY label % 2 ORDER BY
     CAST(('0x' || left(md5('42:' || vec_id), 15)) AS BIGINT), vec_id) <= floor(count(*) OVER (PARTITION BY label % 2) * CAST(0.2 AS DOUBLE)) AS test FROM embeddings),
