@@ -1,9 +1,10 @@
 """Pairs through cells against all pairs, with many small tiles."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from reportlens.operators import cluster, pairs
+from reportlens.operators import cells, cluster, components, pairs
 from reportlens.operators.cells import Cells
 
 RNG = np.random.default_rng(21)
@@ -95,3 +96,50 @@ def test_default_sweep(spark):
     assert count == {"hdbscan": 8, "kmeans": 1, "hierarchical": 3}
     runs, labels = cluster.sweep(rows, "id", "vec", configs[-1:])
     assert runs.first().status == "ok" and labels.groupBy("label").count().count() == 2
+
+
+def test_rows_travel_once_per_bin(spark):
+    """Wide random rows are near to all cells; a row is sent to a few bins, not to each cell."""
+    points = RNG.normal(size=(400, 12))
+    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, vec array<double>")
+    index = Cells(rows, "id", "vec", "euclidean", block_rows=8)
+    reach = index.rows.select("id", F.lit(100.0).alias("reach"))
+
+    def seen(targets, visitors):
+        return pd.DataFrame({"id": visitors["id"], "n": len(targets), "sent": 0})
+
+    def add(found):
+        return found.groupby("id", as_index=False)["n"].sum().assign(sent=1)
+
+    got = index.within(reach, seen, "id long, n bigint, sent int", add).groupBy("id").agg(F.sum("n").alias("n"), F.sum("sent").alias("sent")).collect()
+    assert len(got) == 400 and {r.n for r in got} == {400}
+    assert len(index.count) > 100 and max(r.sent for r in got) <= 40
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_a_tile_returns_one_tree(spark, monkeypatch, kind):
+    """The slices of a tile give one spanning tree, and all tiles hold the least one."""
+    monkeypatch.setattr(cells, "SIDES", 2)
+    points = RNG.normal(size=(150, 2))
+    names = list(range(150)) if kind == "long" else [f"n{i:03d}" for i in range(150)]
+    rows = spark.createDataFrame([(n, [float(x) for x in p], 0.0) for n, p in zip(names, points)], f"id {kind}, vec array<double>, core double")
+    links = pairs.reach_links(rows, "id", "vec", "core", block_rows=10).toPandas()
+    assert len(links) <= 3 * 150
+    links = links.sort_values(["w", "a", "b"])
+    d, near, total = all_distances(points, "euclidean"), None, 0.0
+    near, done = d[0].copy(), {0}
+    for _ in range(149):
+        at = min((i for i in range(150) if i not in done), key=lambda i: near[i])
+        total, near = total + near[at], np.minimum(near, d[at])
+        done.add(at)
+    joins = components.join_in_order(links["a"].to_numpy(), links["b"].to_numpy())[2]
+    assert joins.sum() == 149 and abs(links["w"].to_numpy()[joins].sum() - total) < 1e-6
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_few_links_need_no_rounds(spark, kind):
+    names = [f"n{i:02d}" if kind == "string" else i for i in range(40)]
+    links = spark.createDataFrame([(names[i + 1], names[i]) for i in range(39) if i != 19] + [(names[3], names[3])], f"a {kind}, b {kind}")
+    few = {r["id"]: r["root"] for r in components.components(links, max_rounds=0).collect()}
+    assert few == {n: names[0] if i < 20 else names[20] for i, n in enumerate(names)}
+    assert few == {r["id"]: r["root"] for r in components.components(links, finish=0).collect()}
