@@ -111,6 +111,19 @@ def test_components(spark):
     assert {got[i] for i in (100, 101, 102)} == {100}
 
 
+def test_components_of_struct_ids(spark):
+    """Few links between struct ids, as near-duplicate classes have them: settled by one task, null members first."""
+    n = [(None, 7), (4, 2), (5, 1), (8, 1), (9, 0), (9, 1), (6, None)]
+    links = spark.createDataFrame([(n[2], n[1]), (n[1], n[0]), (n[3], n[5]), (n[5], n[4]), (n[6], n[6])],
+                                  "a struct<id:bigint,f1:bigint>, b struct<id:bigint,f1:bigint>")
+    got = {tuple(r.id): tuple(r.root) for r in components(links).collect()}
+    assert got == {n[0]: n[0], n[1]: n[0], n[2]: n[0], n[3]: n[3], n[4]: n[3], n[5]: n[3]}
+    assert got == {tuple(r.id): tuple(r.root) for r in components(links, finish=0).collect()}
+    words = spark.createDataFrame([("b", "é"), ("z", "b"), ("", "q")], "a string, b string")
+    assert {r.id: r.root for r in components(words).collect()} == {"b": "b", "z": "b", "é": "b", "": "", "q": ""}
+    assert components(links.where("false")).count() == 0
+
+
 def brute_dbscan(d, eps, m):
     near = d <= eps
     core = near.sum(1) >= m
