@@ -171,3 +171,18 @@ def test_zero_and_odd_vectors(spark):
         assert [r.v for r in df.select(V.normalize(F.col("v"), norm).alias("v")).collect()] == want
     cut = df.select(V.fit_dim(F.col("v"), 1).alias("a"), V.fit_dim(F.col("v"), 3).alias("b")).first()
     assert (cut.a, cut.b) == ([3.0], [3.0, 4.0, 0.0])
+
+
+def test_plain_documents_in_one_reading(spark, monkeypatch):
+    """Plain documents are read once; the entries are those of the plan, which reads all others."""
+    plain = ['{"Order":{"Status":"F","Code":3,"Note":"","Empty":{}},"Lines":{"Flags":["A",true,7],"None":[]},"x":null,"y":2.7}', "{}"]
+    other = ['{"a":1,"a":2}', '{"a":{"b":1},"a_b":2}', '{"a":-0}', '{"a":1} x', '{"a":NaN}', '{"a":1e2}', '{"a":"\u00c9"}', '{"a":[{"b":1},2]}', "[1]", "", None,
+             '{"a":' * 7 + "1" + "}" * 7, '{"a":"' + "long " * 4000 + '"}']
+    df = spark.createDataFrame(list(enumerate(plain + other)), "id int, doc string")
+    read = {r.id for r in df.where(D._read_plainly(F.col("doc"), True).isNotNull()).select("id").collect()}
+    assert read == {0, 1}
+    both = lambda: D.nodes(D.flatten(df, "doc", "flat"), "doc", "nodes").select("id", "flat", "nodes")
+    got = {r.id: (r.flat, r.nodes) for r in both().collect()}
+    monkeypatch.setattr(D, "_read_plainly", lambda doc, flat: F.lit(None).cast(D.ENTRY))
+    assert got == {r.id: (r.flat, r.nodes) for r in both().collect()}
+    assert [(e.key, e.value, e.type) for e in got[0][0]][:2] == [("order_status", "f", "STRING"), ("order_code", "3", "BIGINT")]
