@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import documents, explain, metrics, models, ranking, stability, tables
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 from ..sources import tables as S
 from . import inputs as I
 from .registry import R, query, r6, rounded
@@ -315,7 +315,7 @@ def mapping_shares(t):
 WITH {I.SQL_DOCS}, u AS (SELECT DISTINCT section || '_' || key AS json_key FROM feat) SELECT json_key FROM u""")
 def mapping_fallback(t):
     """Nothing matched, so every key is kept."""
-    universe = documents.feature_universe(I.section_documents(t)).select(F.concat_ws("_", "section", "key").alias("json_key"))
+    universe = cut_lineage(documents.feature_universe(I.section_documents(t)).select(F.concat_ws("_", "section", "key").alias("json_key")))
     return tables.or_all(universe.where(F.col("json_key") == "none"), universe)
 
 
