@@ -335,8 +335,8 @@ def concordance(joint: DataFrame, k: int = 8) -> DataFrame:
 
 
 def swapped_top(joint: DataFrame, swapped: DataFrame, k: int = 3) -> DataFrame:
-    """First k features by joint score that were ever swapped."""
-    return joint.join(swapped.select("feature"), "feature", "left_semi").orderBy(F.desc("joint_score"), "feature").limit(k)
+    """First k features by joint score that were ever swapped; the swaps shrink to their features before the join."""
+    return joint.join(swapped.select("feature").distinct(), "feature", "left_semi").orderBy(F.desc("joint_score"), "feature").limit(k)
 
 
 def block_summary(blocks: DataFrame) -> DataFrame:
