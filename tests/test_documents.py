@@ -186,3 +186,20 @@ def test_plain_documents_in_one_reading(spark, monkeypatch):
     monkeypatch.setattr(D, "_read_plainly", lambda doc, flat: F.lit(None).cast(D.ENTRY))
     assert got == {r.id: (r.flat, r.nodes) for r in both().collect()}
     assert [(e.key, e.value, e.type) for e in got[0][0]][:2] == [("order_status", "f", "STRING"), ("order_code", "3", "BIGINT")]
+
+
+def test_plain_template_documents_in_one_reading(spark, monkeypatch):
+    """Plain documents in template order are read once, with the entries that the typed parse gives."""
+    template = {"Order": {"Status": "", "Code": 0, "Ok": False}, "Lines": {"Flags": [], "N": 0}}
+    plain = ['{"Order":{"Status":"F","Code":3,"Ok":true},"Lines":{"Flags":["A","b"],"N":null},"More":{"x":1}}', '{"Order":null,"Lines":{"Flags":[],"N":4}}',
+             '{"Order":{"Status":7,"Extra":"x"}}', '{"order":{"Status":"F"},"Order_2":1}', "{}"]
+    other = ['{"Lines":{"N":4},"Order":{"Status":"F"}}', '{"More":1,"Order":{"Code":3}}', '{"Order":{"Code":3,"Status":"F"}}', '{"Lines":{"Flags":[null]}}', "[]", "", None]
+    df = spark.createDataFrame(list(enumerate(plain + other)), "id int, doc string")
+    keys = ["order_status", "order_code", "order_ok", "lines_flags", "lines_n"]
+    read = df.where(D._read_plainly(F.col("doc"), True, keys).isNotNull()).select("id").collect()
+    assert {r.id for r in read} == set(range(len(plain)))
+    every = lambda: {r.id: r.features for r in D.flatten_template(df, "doc", template).collect()}
+    got = every()
+    assert D.flatten_template(df, "doc", template).columns == ["id", "doc", "features"]
+    monkeypatch.setattr(D, "_read_plainly", lambda doc, flat, order=None: F.lit(None).cast(D.ENTRY))
+    assert got == every()

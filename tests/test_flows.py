@@ -222,3 +222,22 @@ def test_entry(spark):
     out = entry.entry(spark)
     rows = out.collect()
     assert sorted(r["rank"] for r in rows) == [1, 2, 3, 4]
+
+
+def test_swaps_shrink_to_their_features_before_the_join(spark):
+    joint = spark.createDataFrame([("a", 2.0), ("b", 3.0), ("c", 1.0), (None, 9.0)], "feature string, joint_score double")
+    swapped = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "feature string").crossJoin(spark.range(3000))
+    top = explain.swapped_top(joint, swapped)
+    assert [r.feature for r in top.collect()] == ["a", "c"]
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [feature" in plan[plan.index("LeftSemi"):]
+
+
+def test_no_match_reads_the_universe_once(spark, monkeypatch):
+    """mapping_fallback asks twice for the keys: they are written, and the documents behind them read once."""
+    from reportlens.plans import table_queries
+    read = []
+    plain = table_queries.cut_lineage
+    monkeypatch.setattr(table_queries, "cut_lineage", lambda df: (read.append(1), plain(df))[1])
+    got = QUERIES["mapping_fallback"].run(table_queries.I.Tables(spark, SMALL))
+    assert got.count() == 14 and read == [1] and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
