@@ -251,6 +251,27 @@ def test_consensus_tiles_equal_brute_force(spark):
         assert got == want
 
 
+def test_consensus_of_equal_rows_is_weighted(spark, monkeypatch):
+    """Rows with one reference label and the same labels enter the tiles once; their pairs are all counted."""
+    patterns = [(0, [0, 1, None]), (0, [0, None, 1]), (1, [1, 1, 1]), (1, [None, None, None])]
+    rows = [(i, *patterns[i % 4]) for i in range(403)]
+    arrays = spark.createDataFrame(rows, "id long, ref int, labels array<int>")
+    sent, plain = [], stability.pairs.tiles
+    monkeypatch.setattr(stability.pairs, "tiles", lambda df, *a: (sent.append(df.count()), plain(df, *a))[1])
+    for block in (None, 2):
+        want = {}
+        for a in range(403):
+            for b in range(a):
+                x, y = rows[a][2], rows[b][2]
+                both = sum(p is not None and q is not None for p, q in zip(x, y))
+                if both:
+                    key = rows[a][1] == rows[b][1], both, sum(p is not None and p == q for p, q in zip(x, y))
+                    want[key] = want.get(key, 0) + 1
+        assert {(r.same_ref, r.n_both, r.n_same): r.pairs for r in stability.consensus_counts(arrays, block).collect()} == want
+    assert sent == [4, 4]
+
+
+
 # --- tests and survival -------------------------------------------------------------
 
 def test_tails():
