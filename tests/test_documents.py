@@ -181,10 +181,13 @@ def test_plain_documents_in_one_reading(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(plain + other)), "id int, doc string")
     read = {r.id for r in df.where(D._read_plainly(F.col("doc"), True).isNotNull()).select("id").collect()}
     assert read == {0, 1}
-    both = lambda: D.nodes(D.flatten(df, "doc", "flat"), "doc", "nodes").select("id", "flat", "nodes")
-    got = {r.id: (r.flat, r.nodes) for r in both().collect()}
+    def both():
+        flat = {r.id: r.o for r in D.flatten(df, "doc", "o").collect()}
+        return {r.id: (flat[r.id], r.o) for r in D.nodes(df, "doc", "o").collect()}
+
+    got = both()
     monkeypatch.setattr(D, "_read_plainly", lambda doc, flat: F.lit(None).cast(D.ENTRY))
-    assert got == {r.id: (r.flat, r.nodes) for r in both().collect()}
+    assert got == both()
     assert [(e.key, e.value, e.type) for e in got[0][0]][:2] == [("order_status", "f", "STRING"), ("order_code", "3", "BIGINT")]
 
 
