@@ -199,7 +199,7 @@ def prototype_trajectory(protos: DataFrame, axis: DataFrame, embed: Embed, secti
 def _fold_scores(ready: DataFrame, fold: int, n: int) -> DataFrame:
     """(fold, label, s): held-out scores of a balanced logistic regression on all but one of the folds' n rows."""
     train = ready.where(F.col("fold") != fold)
-    model = LogisticRegression(maxIter=100, regParam=1 / n, standardization=False, weightCol="weight").fit(train)
+    model = models.sendable(LogisticRegression(maxIter=100, regParam=1 / n, standardization=False, weightCol="weight").fit(train))
     held = model.transform(ready.where(F.col("fold") == fold))
     return held.select("fold", "label", F.element_at(vector_to_array("probability"), 2).alias("s"))
 
@@ -253,8 +253,8 @@ class Surrogate:
         self.train, self.test = split.where(~F.col("is_test")), split.where("is_test")
         self.encoder = models.encoder(self.train, self.numeric, self.categorical)
         weighted = models.class_weights(self.encoder.transform(self.train), label)
-        self.model = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
-                                            weightCol="weight", seed=seed).fit(weighted)
+        self.model = models.sendable(RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
+                                                            weightCol="weight", seed=seed).fit(weighted))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Adds p, the probability of class 1."""

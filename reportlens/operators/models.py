@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -13,11 +14,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import Binarizer, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import cached, constant
+from ..session import cached, constant, shared_dir
 from . import boosting as gradient
 from . import metrics, pairs
 from . import perceptron as network
@@ -44,9 +45,23 @@ def ready(df: DataFrame, id_col: str, vec: str, label: str) -> DataFrame:
         array_to_vector(F.col(vec).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
 
 
+def sendable(model):
+    """The fitted model without its training summary.
+
+    Tasks receive a model with its summary, and that of a two-class model holds the session, which cannot be
+    sent once it has tags. A copy of a logistic regression keeps the summary; one that was written has none.
+    """
+    plain = model.copy()
+    if not getattr(plain, "hasSummary", False):
+        return plain
+    path = f"{shared_dir(SparkSession.active())}/model-{uuid.uuid4().hex}"
+    plain.write().save(path)
+    return type(model).load(path)
+
+
 def _fitted(estimator) -> Spec:
     def spec(train: DataFrame, classes: int):
-        model = estimator(train, classes).fit(train)
+        model = sendable(estimator(train, classes).fit(train))
         return lambda df: model.transform(df).withColumn("probability", vector_to_array("probability"))
 
     return spec
@@ -113,12 +128,12 @@ def kernel_svm(width: int = 256, gamma: float | None = None, c: float = 1.0, max
         for cls in range(classes if classes > 2 else 1):
             target = F.col("label") if classes == 2 else (F.col("label") == cls).cast("double")
             two = rows.withColumn("_y", target)
-            svm = LinearSVC(featuresCol="_rff", labelCol="_y", rawPredictionCol="_raw", predictionCol="_hit",
-                            regParam=1 / (c * n), maxIter=max_iter).fit(two)
+            svm = sendable(LinearSVC(featuresCol="_rff", labelCol="_y", rawPredictionCol="_raw", predictionCol="_hit",
+                                     regParam=1 / (c * n), maxIter=max_iter).fit(two))
             margin = lambda df, m=svm: m.transform(df).withColumn(
                 "_m", F.slice(vector_to_array("_raw"), 2, 1)).withColumn("_mv", array_to_vector("_m"))
-            platt = LogisticRegression(featuresCol="_mv", labelCol="_y", probabilityCol="_pr", rawPredictionCol="_r2",
-                                       predictionCol="_h2", maxIter=max_iter).fit(margin(two))
+            platt = sendable(LogisticRegression(featuresCol="_mv", labelCol="_y", probabilityCol="_pr", rawPredictionCol="_r2",
+                                                predictionCol="_h2", maxIter=max_iter).fit(margin(two)))
             fits.append((margin, platt))
         rows.unpersist()
 

@@ -241,3 +241,19 @@ def test_no_match_reads_the_universe_once(spark, monkeypatch):
     monkeypatch.setattr(table_queries, "cut_lineage", lambda df: (read.append(1), plain(df))[1])
     got = QUERIES["mapping_fallback"].run(table_queries.I.Tables(spark, SMALL))
     assert got.count() == 14 and read == [1] and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_two_class_models_in_a_session_with_tags(spark):
+    """The training summary of a two-class model holds the session, which cannot be sent to tasks once it has tags."""
+    df = spark.createDataFrame([(i, i % 2, float(i % 2 + (i % 7) / 5), "ab"[i % 3 % 2]) for i in range(60)], "id long, y int, x double, c string")
+    rows = models.ready(df.select("id", "y", F.array("x", F.lit(1.0)).alias("v")), "id", "v", "y")
+    spark.addTag("test")
+    try:
+        s = explain.Surrogate(df, "id", "y", trees=3, depth=3)
+        assert s.auc().first().auc > 0.5 and {r.raw_feature for r in s.shapley(1).collect()} == {"x", "c"}
+        specs = {"logistic": models.logistic(), "forest": models.forest(2, 2)}
+        assert {r.status for r in models.model_table(rows, rows, specs, folds=0).collect()} == {"ok"}
+        folds = rows.select("features", "label", F.lit(1.0).alias("weight"), (F.col("id") % 2).alias("fold"))
+        assert explain._fold_scores(folds, 0, 30).count() == 30
+    finally:
+        spark.removeTag("test")
