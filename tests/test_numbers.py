@@ -194,6 +194,21 @@ def test_sweep_reports_every_run(points):
     assert labels.count() == 240
 
 
+def test_a_failing_method_ends_the_comparison(points, monkeypatch):
+    """A job that fails in a task and an unknown method are no rows; one cluster is a row without a score."""
+    def broken(df, i, v, k):
+        labels = df.select("id", F.raise_error(F.lit("the task failed")).cast("int").alias("label"))
+        return cluster.Found(labels, "Broken", {})
+
+    monkeypatch.setitem(cluster.METHODS, "broken", broken)
+    for name in ("broken", "none"):
+        with pytest.raises(Exception, match="the task failed|unknown method none"):
+            cluster.compare_methods(points, "id", "vec", ["kmeans", name], 2)
+    monkeypatch.setitem(cluster.METHODS, "one", lambda df, i, v, k: cluster.Found(df.select("id", F.lit(0).alias("label")), "One", {}))
+    got = cluster.compare_methods(points.drop("label"), "id", "vec", ["kmeans", "one"], 3).collect()
+    assert [(r.method, r.silhouette is None, r.n_clusters_found) for r in got] == [("kmeans", False, 3), ("one", True, 1)]
+
+
 def test_agreement_properties(points):
     same = points.withColumn("other", 7 - F.col("label"))
     r = metrics.agreement(same, "label", "other").first()
